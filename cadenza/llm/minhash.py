@@ -6,11 +6,11 @@
 3. Representatives that agree on all minima of a band share a bucket.  A bucket is never expanded into pairs.  Each band
    picks its own centre of a bucket, and each member keeps its best centre by signature; these pairs are verified on the
    full sets and united.  What is left are buckets that span several components.
-4. In those, members of all but the bucket's largest component are compared, by signature and in blocks of at most
-   `BLOCK` rows a side, with members of other components: first the best pair of every two components, and after these
-   are verified and united, every pair whose signatures agree on `loose` of the minima or more.  Pairs inside a
-   component need no check, so a large group of near copies costs a number of pairs linear in its size, and no pair of
-   different components that shares a bucket is left out.
+4. There, members of all but a bucket's largest component are compared with members of other components in blocks of
+   about `BLOCK` rows a side, by signature, each pair in the first bucket that it shares.  Rows that agree with another on
+   `loose` of the minima or more meet again with their full sets, and each block verifies its pairs, best first, unless
+   verified ones have united their components already.  So a large group of near copies gives about as many links as it
+   has members, and no pair of different components that shares a bucket is left out.
 5. Components come from alternating large-star and small-star.
 
 With 32 bands of 4 minima, a pair at a similarity of exactly 0.75 shares no bucket with probability 5e-6, and shows
@@ -26,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from cadenza.llm import textvec as tv
 from cadenza.llm.components import components
-from cadenza.session import drop, ship, stored
+from cadenza.session import ship, stored
 
-BLOCK = 1024
+BLOCK = 512
 #: A list of candidate ids up to this length (8 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -124,81 +123,118 @@ def _estimate(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same.astype(np.int32))], names=["a", "b", "same"])
 
 
-def _verify(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("blob_a"), batch.column("blob_b"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                ok = len(p) * den >= num * len(q)
-                if ok:
-                    at = np.searchsorted(q, p)
-                    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                    ok = den * both >= num * (len(p) + len(q) - both)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _linked(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """Is the Jaccard similarity of two sorted sets num / den or more?"""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(p) * den < num * len(q):
+        return False
+    at = np.searchsorted(q, p)
+    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return den * both >= num * (len(p) + len(q) - both)
 
 
-def _compare(loose: int, best: bool):
-    """Rows sorted by (key, i, j): stragglers (side 0) against members (side 1) of one bucket's blocks i and j."""
-
-    def pairs(t: pa.Table) -> pa.Table | None:
-        side, comp, ids = (t.column(c).to_numpy() for c in ("side", "comp", "id"))
-        if not (side == 0).any() or not (side == 1).any():
-            return None
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        got = []
-        for x in p:
-            same = _agree(sig[q], sig[x])
-            hit = np.flatnonzero((same >= loose) & (comp[q] != comp[x]))
-            got += [(ids[x], ids[q[y]], comp[x], comp[q[y]], same[y]) for y in hit]
-        if best:
-            top = {}
-            for a, b, ca, cb, s in got:
-                if (k := (min(ca, cb), max(ca, cb))) not in top or s > top[k][2]:
-                    top[k] = (a, b, s)
-            got = [(a, b, 0, 0, s) for a, b, s in top.values()]
-        if not got:
-            return None
-        a, b = np.array([x[0] for x in got], np.int64), np.array([x[1] for x in got], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+def _verify(num: int, den: int):
     def run(batches):
-        rest = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            mark = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            cut = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cut.tolist()]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if (x := pairs(t.slice(lo, hi - lo))) is not None:
-                    yield x
-            rest = t.slice(edges[-1]) if t.num_rows else None
-        if rest is not None and rest.num_rows and (x := pairs(rest)) is not None:
-            yield x
+            keep = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column("blob_a"), batch.column("blob_b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _members(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, tasks: int) -> DataFrame:
-    """Blocks of the buckets that span components: (key, i, j, side, id, comp, sig)."""
+def _groups(batches, columns: list[str], work):
+    """work(table) of each run of rows with equal `columns`, which are sorted; one group is held at a time."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = np.stack([batch.column(c).to_numpy() for c in columns])
+        edges = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(mark[:, lo].tolist())
+            if rest and now != last:
+                yield from work(pa.Table.from_batches(rest))
+                rest = []
+            last = now
+            rest.append(batch.slice(lo, hi - lo))
+    if rest:
+        yield from work(pa.Table.from_batches(rest))
+
+
+def _candidates(t: pa.Table, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one block (stragglers have side 0, members side 1) that may be linked, and their agreement.
+
+    The components differ, the signatures agree on `loose` minima or more, and the bucket is the first that they share.
+    """
+    side, comp = t.column("side").to_numpy(), t.column("comp").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(side), -1)
+    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(side), -1)
+    band = int(np.argmax(keys[0] == t.column("key")[0].as_py()))
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right, agree = [p[:0]], [p[:0]], [p[:0]]
+    for x in p:
+        hit = q[comp[q] != comp[x]]
+        same = _agree(sig[hit], sig[x])
+        hit, same = hit[same >= loose], same[same >= loose]
+        first = ~(keys[hit, :band] == keys[x, :band]).any(axis=1)
+        left.append(np.full(int(first.sum()), x))
+        right.append(hit[first])
+        agree.append(same[first])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+
+
+def _survivors(loose: int):
+    """The rows of each block that have a candidate."""
+
+    def work(t: pa.Table):
+        left, right, _ = _candidates(t, loose)
+        if len(left):
+            yield from t.take(pa.array(np.unique(np.concatenate([left, right])))).to_batches()
+
+    return lambda batches: _groups(batches, ["key", "i", "j"], work)
+
+
+def _settle(loose: int, num: int, den: int):
+    """Links between the components of each block: its candidates, best first, verified unless already united."""
+
+    def work(t: pa.Table):
+        left, right, agree = _candidates(t, loose)
+        ids, blobs = t.column("id").to_numpy(), t.column("blob").to_pylist()
+        _, root = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+        root, sets, out = root.copy(), {}, []
+        for k in np.argsort(-agree, kind="stable"):
+            a, b = int(left[k]), int(right[k])
+            if root[a] == root[b]:
+                continue
+            for x in (a, b):
+                if x not in sets:
+                    sets[x] = np.frombuffer(blobs[x], np.uint64)
+            if _linked(sets[a], sets[b], num, den):
+                root[root == root[a]] = root[b]
+                out.append((ids[a], ids[b]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return lambda batches: _groups(batches, ["key", "i", "j"], work)
+
+
+BLOCKED = "key long, i int, j int, side int, id long, comp long, sig binary, keys binary"
+
+
+def _blocks(buckets: DataFrame, comp: DataFrame, signed: DataFrame, tasks: int) -> DataFrame:
+    """The buckets that span components, in blocks of at most about BLOCK stragglers and BLOCK members."""
     rows = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
-    rows = rows.join(open_, "key")
     by = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    major = by.groupBy("key").agg(F.max(F.struct("c", F.negative("comp").alias("k"))).alias("top")).select("key", F.negative("top.k").alias("major"))
-    size = rows.join(major, "key").withColumn("straggler", F.col("comp") != F.col("major")).withColumn("chunks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    size = size.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    left = size.where("straggler").withColumn("j", each).select("key", F.col("own").alias("i"), "j", F.lit(0).alias("side"), "id", "comp")
-    right = size.withColumn("i", each).select("key", "i", F.col("own").alias("j"), F.lit(1).alias("side"), "id", "comp")
-    return left.union(right).join(sigs, "id").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+    by = by.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("m"), F.max(F.struct("c", F.negative("comp").alias("k"))).alias("top")).where("n > 1")
+    by = by.select("key", F.negative("top.k").alias("major"), F.ceil(F.col("m") / BLOCK).cast("int").alias("js"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("is"))
+    rows = rows.join(by, "key").withColumn("straggler", F.col("comp") != F.col("major"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("straggler").withColumn("j", each("js")).select("key", own("is").alias("i"), "j", F.lit(0).alias("side"), "id", "comp")
+    right = rows.withColumn("i", each("is")).select("key", "i", own("js").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    return left.union(right).join(signed, "id").select("key", "i", "j", "side", "id", "comp", "sig", "keys").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: Fraction = Fraction(3, 4), bands: int = 32, rows: int = 4, loose: float = 0.60, seed: int = 1) -> DataFrame:
@@ -231,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(sets, "sets").dropDuplicates(["id"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = pairs.select("a", "b").distinct().join(sets.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
+        x = pairs.distinct().join(sets.select(F.col("id").alias("b"), F.col("blob").alias("blob_b")), "b")
         x = x.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("blob_a")), "a").select("a", "b", "blob_a", "blob_b")
         return stored(x.mapInArrow(_verify(threshold.numerator, threshold.denominator), "a long, b long"), "links")
 
@@ -243,14 +279,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
     links = verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     comp = components(links)
-    for best in (True, False):
-        more = _members(buckets.select("key", "id"), comp, sigs, tasks).select("key", "i", "j", "side", "id", "comp", "sig")
-        more = stored(more.mapInArrow(_compare(floor, best), "a long, b long").distinct(), "pairs")
-        if not more.isEmpty():
-            found = verified(more)
-            if not found.isEmpty():
-                links = links.union(found)
-                comp = components(links)
+    rest = _blocks(buckets.select("key", "id"), comp, reps.select("id", "sig", "keys"), tasks).mapInArrow(_survivors(floor), BLOCKED)
+    rest = stored(rest, "survivors").join(sets, "id").select("key", "i", "j", "side", "id", "comp", "sig", "keys", "blob")
+    rest = rest.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(floor, threshold.numerator, threshold.denominator), "a long, b long")
+    rest = stored(rest, "links")
+    if not rest.isEmpty():
+        comp = components(links.union(rest))
     group = comp.withColumnRenamed("node", "rep")
     out = named.join(group, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import hostrules, mixing
+from cadenza.llm.hostrules import quality_rules
 from cadenza.llm.minhash import near_duplicates
+from cadenza.llm.mixing import mix_sources
 from cadenza.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +24,19 @@ def query(f):
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_hostrules"] = hostrules.ORACLE
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+ORACLES["op4_mixing"] = mixing.ORACLE

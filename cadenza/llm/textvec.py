@@ -66,13 +66,35 @@ class Block(NamedTuple):
     offsets: np.ndarray  # int64, n + 1: words of document i are offsets[i]..offsets[i + 1]
 
     def hashes(self, fold: bool = True) -> np.ndarray:
+        return self.span_hashes(self.start, self.end, fold)
+
+    def span_hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+        """Hashes of any byte ranges of the block."""
         n = len(self.data)
-        if not len(self.start):
+        if not len(start):
             return np.zeros(0, np.uint64)
         up, down = _power_tables(n)
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[fold][self.data] * up[:n], dtype=np.uint64, out=run[1:])
-        return mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and document of every \n-split line; an empty document has one empty line."""
+        cut = np.flatnonzero(self.data == 10)
+        doc = np.searchsorted(self.doc_start, cut, "right") - 1
+        # of documents that start at one place, all but the last are empty; bytes between documents belong to none
+        inside = (doc >= 0) & (cut < self.doc_end[doc]) if len(cut) else np.zeros(0, bool)
+        cut, doc = cut[inside], doc[inside]
+        start = np.concatenate((self.doc_start, cut + 1))
+        owner = np.concatenate((np.arange(self.n), doc))
+        order = np.lexsort((start, owner))
+        start, owner = start[order], owner[order]
+        last = np.ones(len(owner), bool)
+        last[:-1] = owner[1:] != owner[:-1]
+        end = np.empty(len(start), np.int64)
+        end[:-1] = start[1:] - 1
+        end[last] = self.doc_end[owner[last]]
+        return start, end, owner
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
