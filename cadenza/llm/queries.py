@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import hostrules, mixing
+from cadenza.llm.crf import quality
 from cadenza.llm.hostrules import quality_rules
+from cadenza.llm.idfiles import id_file_digests
 from cadenza.llm.minhash import near_duplicates
 from cadenza.llm.mixing import mix_sources
+from cadenza.llm.ngram import held_out_scores
+from cadenza.llm.packing import pack
+from cadenza.llm.toxicity import toxicity
 from cadenza.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +45,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_mixing"] = mixing.ORACLE
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_file_digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
