@@ -14,7 +14,9 @@ from cadenza.llm.minhash import near_duplicates
 from cadenza.llm.mixing import mix_sources
 from cadenza.llm.ngram import held_out_scores
 from cadenza.llm.packing import pack
+from cadenza.llm.rollup import token_counts
 from cadenza.llm.toxicity import toxicity
+from cadenza.llm.vectordup import near_duplicate_vectors
 from cadenza.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +72,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
