@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SELECT = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     _on = [k for k in range(8) if _b >> k & 1]
     _SELECT[_b, : len(_on)] = _on
 _U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 
 
 def pack_bits(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,15 +60,18 @@ class EliasFano:
         return self.low[bit >> 3] >> (bit & 7).astype(_U) & self.mask
 
     def _in_word(self, word: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-        """Position, within 64 bits, of the k-th one (or, flipped, zero)."""
-        raw = self.vector.reshape(-1, 8)[word]
+        """Position, within 64 bits, of the k-th one (or, flipped, zero): by sums of bytes, then by table."""
+        x = self.vector.view("<u8")[word]
         if flip:
-            raw = ~raw
-        below = np.cumsum(_BYTE_ONES[raw], axis=1, dtype=np.int64)
-        byte = (below <= k[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        before = np.where(byte > 0, below[row, np.maximum(byte - 1, 0)], 0)
-        return byte * 8 + _SELECT[raw[row, byte], k - before]
+            x = ~x
+        k = k.astype(_U)
+        s = x - (x >> _U(1) & _U(0x5555555555555555))
+        s = (s & _U(0x3333333333333333)) + (s >> _U(2) & _U(0x3333333333333333))
+        s = (s + (s >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # byte i: ones in bytes 0 to i
+        full = ((k * _ONES | _TOPS) - s & _TOPS) >> _U(7)  # bytes that end at k or before
+        place = (full * _ONES >> _U(56)) * _U(8)
+        inner = k - (s << _U(8) >> place & _U(0xFF))
+        return (place + _SELECT[(x >> place & _U(0xFF)).astype(np.int64), inner.astype(np.int64)]).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

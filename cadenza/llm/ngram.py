@@ -34,11 +34,13 @@ from cadenza.session import scratch, ship, stored
 END = np.uint64(0)
 ORDER = 3
 #: Prior strength by order, from 2 up.
-PRIOR = (60.0, 8.0)
+PRIOR = (1000.0, 300.0)
 #: N-grams of the highest order (from 3 up) seen less often are left to the order below.
 LEAST = 2
 SHARD_TOKENS = 4_000_000
 FLUSH = 3_000_000
+#: Bytes of text that a lookup takes together.
+BLOCK_BYTES = 3 << 20
 _STEP = 16.0 / 65535
 _U = np.uint64
 
@@ -132,7 +134,9 @@ def find_grams(t: Trie, n: int, context: np.ndarray, word: np.ndarray) -> tuple[
             continue
         pointers = _codec(f, "pointers_")
         both, inverse = np.unique(number, return_inverse=True)
-        begin, end = pointers.access(both)[inverse].astype(np.int64), pointers.access(both + 1)[inverse].astype(np.int64)
+        edge = np.unique(np.concatenate([both, both + 1]))
+        value, at = pointers.access(edge).astype(np.int64), np.searchsorted(edge, both)
+        begin, end = value[at][inverse], value[at + 1][inverse]
         at = _codec(f).find(number.astype(_U) * _U(t.words) + word[m].astype(_U), begin, end)
         m, at = m[at >= 0], at[at >= 0]
         place[m], prob[m] = at + level.base[k], f.prob[at]
@@ -262,7 +266,7 @@ def _count_words(shards: int):
     def run(batches):
         c = _Counter(False)
         for batch in batches:
-            for block in tv.blocks(batch.column(0)):
+            for block in tv.blocks(batch.column(0), BLOCK_BYTES):
                 c.add(_streams(block)[0])
                 if c.size > FLUSH:
                     c.parts = [c.take()]
@@ -294,7 +298,7 @@ def _count_grams(t: Trie, n: int, shards: int):
         c = _Counter(True)
         end_id = int(find_words(t, np.array([END]))[0][0])
         for batch in batches:
-            for block in tv.blocks(batch.column(0)):
+            for block in tv.blocks(batch.column(0), BLOCK_BYTES):
                 w = walk(t, block)
                 context = np.empty_like(w.places)
                 context[1:] = w.places[:-1]
@@ -409,7 +413,7 @@ def _score(t: Trie):
     def run(batches):
         for batch in batches:
             parts = []
-            for block in tv.blocks(batch.column(1)):
+            for block in tv.blocks(batch.column(1), BLOCK_BYTES):
                 if t.levels:
                     w = walk(t, block)
                     at, known, logs = w.bounds[:-1], w.counts > 0, w.logs

@@ -78,8 +78,8 @@ def corpus():
 def test_against_brute_force(spark, order, shard):
     docs = corpus()
     df = spark.createDataFrame([(*d, 1.0, "x") for d in docs], "doc_id long, text string, score double, id string").repartition(3)
-    got = {r.doc_id: r for r in ngram.held_out_scores(df, order=order, shard_tokens=shard).collect()}
-    want = brute(docs, order, ngram.PRIOR, ngram.LEAST)
+    got = {r.doc_id: r for r in ngram.held_out_scores(df, order=order, prior=(9.0, 3.0), shard_tokens=shard).collect()}
+    want = brute(docs, order, (9.0, 3.0), 2)
     assert got.keys() == want.keys()
     for k, (held, n, known, total, base, s) in want.items():
         r = got[k]
