@@ -25,7 +25,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 3
 #: Labelled rows that are learnt from at most, chosen by a hash of their id.
-MAX_ROWS = 6000
+MAX_ROWS = 5000
 
 
 def subwords(block: tv.Block, start: np.ndarray, end: np.ndarray, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +101,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(best + self.bias, -30, 30)))
 
 
+def _index(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts as numbers, the buckets of each distinct word, where they begin, and where each text begins."""
+    hashes, offsets, known, names = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], []
+    total = 0
+    for b in tv.blocks(pa.array([t or "" for t in texts], pa.large_string())):
+        h = b.hashes()
+        hashes.append(h)
+        offsets.append(b.offsets[1:] + total)
+        total += len(h)
+        u, one = np.unique(h, return_index=True)
+        known.append(u)
+        names += [b.data[b.start[i] : b.end[i]].tobytes() for i in one]
+    u, one = np.unique(np.concatenate(known), return_index=True)
+    bucket, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(one), 10_000):
+        words = pa.array([b" ".join(names[k] for k in one[i : i + 10_000])], pa.binary())
+        b = next(tv.blocks(words))
+        x, edges = subwords(b, b.start, b.end)
+        bucket.append(x)
+        per.append(np.diff(edges))
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(per))))
+    return np.searchsorted(u, np.concatenate(hashes)).astype(np.int32), np.concatenate(bucket), bounds, np.concatenate(offsets)
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int = 6, epochs: int = 10, rate: float = 0.3, batch: int = 128) -> Model:
     """Fit embeddings and softmax by Adagrad: `warm` passes over random windows, then `epochs` over each text's highest.
 
     A text of label 1 counts for as many as make both labels weigh the same in the first phase, half as many later.
     """
     rng = np.random.default_rng(seed)
-    blocks = list(tv.blocks(pa.array([t or "" for t in texts], pa.large_string()), 1 << 40))
     y = np.array(labels, np.int64)
-    if not blocks or len(set(labels)) < 2 or not len(blocks[0].start):
+    word, bucket, bounds, offsets = _index(texts)
+    if len(set(labels)) < 2 or not len(word):
         p = (y.sum() + 1.0) / (len(y) + 2.0) if len(y) else 0.5
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
-    b = blocks[0]
-    _, one, word = np.unique(b.hashes(), return_index=True, return_inverse=True)
-    bucket, bounds = subwords(b, b.start[one], b.end[one])
     per = np.diff(bounds)
     e = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     w = rng.normal(0, 0.7, (DIM, 2)).astype(np.float32)
@@ -147,7 +168,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int =
         w = (w - rate * 0.3 * dw / np.sqrt(gw)).astype(np.float32)
         c = (c - rate * 0.3 * dc / np.sqrt(gc)).astype(np.float32)
 
-    n = np.diff(b.offsets)
+    n = np.diff(offsets)
     zero, one_ = np.flatnonzero((n > 0) & (y == 0)), np.flatnonzero((n > 0) & (y == 1))
     ratio = max(1.0, len(zero) / max(1, len(one_)))
     for epoch in range(warm + epochs):
@@ -155,11 +176,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int =
         order = rng.permutation(np.concatenate([zero, np.repeat(one_, often)]))
         if epoch >= warm:
             value = (e @ (w[:, 1] - w[:, 0]))[bucket]
-            _, first, last = best_windows((np.add.reduceat(value, bounds[:-1]) / per)[word], b.offsets)
+            _, first, last = best_windows((np.add.reduceat(value, bounds[:-1]) / per)[word], offsets)
             first, last = first[order], last[order]
         else:
             take = np.minimum(n[order], WINDOW)
-            first = b.offsets[:-1][order] + np.floor(rng.random(len(order)) * (n[order] - take + 1)).astype(np.int64)
+            first = offsets[:-1][order] + np.floor(rng.random(len(order)) * (n[order] - take + 1)).astype(np.int64)
             last = first + take
         for i in range(0, len(order), batch):
             step(first[i : i + batch], last[i : i + batch], y[order[i : i + batch]])
