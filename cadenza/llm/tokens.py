@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: ASCII white space is what bytes.split() splits at; the tokenizer drops it, and no piece reaches across it.
 _PART = 1 << 20
+#: A mark after a letter is a piece of its own: the tokenizer splits between letters and what is none.
+_STOPS = frozenset(b".,;:!?")
+_LETTER_END = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]).\Z", re.DOTALL).search
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -30,7 +35,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    LIMIT = 500_000
+    LIMIT = 1_250_000
 
     def __init__(self, path: str, end_id: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,16 +52,21 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.words))
-        if len(self.words) + len(new) > self.LIMIT:
-            self.words.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.words.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+        known = self.words
+        new = set(words).difference(known)
+        if len(known) + len(new) > self.LIMIT:
+            known.clear()
+            new = set(words)
+        ended = {w for w in new if w[-1] in _STOPS and _LETTER_END(w)}
+        plain = list((new - ended).union([w[:-1] for w in ended], [w[-1:] for w in ended]).difference(known))
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, column: pa.Array) -> Iterator[bytes]:
         """Each row's ids as little-endian unsigned 32-bit integers, the end id last; a null text is empty."""
