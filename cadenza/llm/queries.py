@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import hostrules, mixing
+from cadenza.llm import hostrules, minhash, mixing, vectordup
 from cadenza.llm.crf import quality
 from cadenza.llm.hostrules import quality_rules
 from cadenza.llm.idfiles import id_file_digests
@@ -33,6 +33,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op10_minhash"] = minhash.ORACLE
+
+
 @query
 def op9_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
@@ -79,6 +82,9 @@ def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op1_hnsw"] = vectordup.ORACLE
+
+
 @query
 def op2_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))

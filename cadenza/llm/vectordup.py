@@ -219,3 +219,15 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     out = d.withColumn("a", F.when(F.col("ok"), F.xxhash64("label", "dim", "d1", "d2"))).select("id", "ok", "a").join(per, "a", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+f AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS z FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id != y.vec_id WHERE x.z > 0 AND y.z > 0 AND list_dot_product(x.e, y.e) / (x.z * y.z) >= 0.98),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m.b, v.vec_id)) AS component_id, v.vec_id <= coalesce(m.b, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.a = v.vec_id
+"""

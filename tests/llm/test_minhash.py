@@ -75,3 +75,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_query_equals_sql(spark):
+    from cadenza.llm.queries import ORACLES, QUERIES
+    from oracle import SMALL, same
+
+    same(spark, QUERIES["op10_minhash"](spark, SMALL), ORACLES["op10_minhash"])

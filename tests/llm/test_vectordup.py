@@ -85,3 +85,10 @@ def test_graph_recall_and_reachability():
     got[who, what] = True
     assert not (got & ~truth & (np.abs(v @ v.T - 0.97) > 1e-5)).any()
     assert (got & truth).sum() / truth.sum() > 0.999
+
+
+def test_query_equals_sql(spark):
+    from cadenza.llm.queries import ORACLES, QUERIES
+    from oracle import SMALL, same
+
+    same(spark, QUERIES["op1_hnsw"](spark, SMALL), ORACLES["op1_hnsw"])
