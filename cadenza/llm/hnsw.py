@@ -221,13 +221,26 @@ class Graph:
             x.links[part, : pick.shape[1]] = np.where(pick >= 0, np.take_along_axis(ids, np.maximum(pick, 0), axis=1), -1)
             x.degree[part] = (pick >= 0).sum(axis=1)
 
+    def _inward(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the nodes that link to each node of the lowest layer begin, and those nodes."""
+        if not hasattr(self, "inward"):
+            x = self.layers[0]
+            a, b = np.nonzero(x.links[: x.size] >= 0)
+            to = x.links[a, b]
+            bounds = np.zeros(x.size + 1, np.int64)
+            np.cumsum(np.bincount(to, minlength=x.size), out=bounds[1:])
+            self.inward = bounds, a[np.argsort(to, kind="stable")]
+        return self.inward
+
     def within(self, queries: np.ndarray, least: float, beam: int, slack: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of a similarity of `least` (in single precision) or more that the graph leads to.
 
-        The beam finds the neighbourhood; from its nodes above least - slack, links are followed as long as they stay there.
+        The beam finds the neighbourhood; from its nodes above least - slack, links are followed as long as they stay there,
+        and backward too: a node whose links from others were pruned still has its own to its nearest.
         """
         who, what = [], []
         base = self.layers[0]
+        inward, source = self._inward()
         for i in range(0, len(queries), BATCH):
             q = queries[i : i + BATCH]
             entry = self._descend(q, stop=0)[0]
@@ -240,12 +253,13 @@ class Graph:
                 hit = value >= least
                 who.append(at[hit] + i)
                 what.append(node[hit])
-                near = base.links[node]
-                f, c = np.nonzero(near >= 0)
-                code = np.unique(at[f] * base.size + near[f, c])
+                per = inward[node + 1] - inward[node]
+                back = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(inward[node], per)
+                at = np.concatenate([np.repeat(at, base.links.shape[1]), np.repeat(at, per)])
+                node = np.concatenate([base.links[node].reshape(-1).astype(np.int64), source[back]])
+                fresh = np.flatnonzero((node >= 0) & ~seen[at, node])
+                code = np.unique(at[fresh] * base.size + node[fresh])
                 at, node = code // base.size, code % base.size
-                fresh = ~seen[at, node]
-                at, node = at[fresh], node[fresh]
                 seen[at, node] = True
                 value = np.concatenate([np.einsum("nd,nd->n", q[at[s : s + 65536]], self.vectors[node[s : s + 65536]]) for s in range(0, len(at), 65536)]) if len(at) else np.zeros(0, np.float32)
                 stay = value >= least - slack

@@ -110,7 +110,7 @@ def _neighbours(graph: Graph, double: np.ndarray, single: np.ndarray, nodes: np.
     """Verified (query, node) pairs; own: a query's own place in the shard, or -1."""
     n, least = len(nodes), threshold - _NEAR
     sample = np.unique(np.linspace(0, len(double) - 1, min(audit, len(double))).astype(int))
-    truth = [np.flatnonzero(graph.vectors @ single[i] >= least) for i in sample]
+    truth = [np.flatnonzero(nodes @ double[i] >= threshold) for i in sample]  # not what only single precision lets in
     who, what = graph.within(single, least, beam)
     while True:
         found = np.zeros(len(double), bool)
