@@ -35,7 +35,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    LIMIT = 1_250_000
+    LIMIT = 500_000
 
     def __init__(self, path: str, end_id: int | None = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
