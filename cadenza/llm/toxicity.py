@@ -104,15 +104,17 @@ class Model:
 def _index(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts as numbers, the buckets of each distinct word, where they begin, and where each text begins."""
     hashes, offsets, known, names = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], []
-    total = 0
+    total, seen = 0, np.zeros(0, np.uint64)
     for b in tv.blocks(pa.array([t or "" for t in texts], pa.large_string())):
         h = b.hashes()
         hashes.append(h)
         offsets.append(b.offsets[1:] + total)
         total += len(h)
         u, one = np.unique(h, return_index=True)
-        known.append(u)
-        names += [b.data[b.start[i] : b.end[i]].tobytes() for i in one]
+        new = ~np.isin(u, seen, assume_unique=True)
+        seen = np.union1d(seen, u[new])
+        known.append(u[new])
+        names += [b.data[b.start[i] : b.end[i]].tobytes() for i in one[new]]
     u, one = np.unique(np.concatenate(known), return_index=True)
     bucket, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for i in range(0, len(one), 10_000):
@@ -125,6 +127,20 @@ def _index(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.searchsorted(u, np.concatenate(hashes)).astype(np.int32), np.concatenate(bucket), bounds, np.concatenate(offsets)
 
 
+def _highest(weights: np.ndarray, word: np.ndarray, bucket: np.ndarray, bounds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's highest window begins and ends; words and texts are taken in parts."""
+    value = np.empty(len(bounds) - 1, np.float32)
+    for i in range(0, len(value), 20_000):
+        edge = bounds[i : i + 20_001]
+        value[i : i + 20_000] = np.add.reduceat(weights[bucket[edge[0] : edge[-1]]], edge[:-1] - edge[0]) / np.diff(edge)
+    first, last = offsets[:-1].copy(), offsets[1:].copy()
+    for i in range(0, len(first), 200):
+        edge = offsets[i : i + 201]
+        _, a, b = best_windows(value[word[edge[0] : edge[-1]]], edge - edge[0])
+        first[i : i + 200], last[i : i + 200] = a + edge[0], b + edge[0]
+    return first, last
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int = 6, epochs: int = 10, rate: float = 0.3, batch: int = 128) -> Model:
     """Fit embeddings and softmax by Adagrad: `warm` passes over random windows, then `epochs` over each text's highest.
 
@@ -175,8 +191,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int =
         often = int(round(ratio if epoch < warm else max(1.0, ratio / 2)))
         order = rng.permutation(np.concatenate([zero, np.repeat(one_, often)]))
         if epoch >= warm:
-            value = (e @ (w[:, 1] - w[:, 0]))[bucket]
-            _, first, last = best_windows((np.add.reduceat(value, bounds[:-1]) / per)[word], offsets)
+            first, last = _highest(e @ (w[:, 1] - w[:, 0]), word, bucket, bounds, offsets)
             first, last = first[order], last[order]
         else:
             take = np.minimum(n[order], WINDOW)
