@@ -76,7 +76,7 @@ def test_stages_on_odd_rows(spark):
         assert now.columns == df.columns
     assert cp.STAGES[4][1](spark, now, SMALL).count() > 0
     ids = [r.doc_id for r in cp.near_dedup_stage(spark, df, SMALL).collect()]
-    assert sorted(ids, key=str) == [1, 2, 3, 5, None]
+    assert sorted(ids, key=str) == [1, 2, 3, None]  # 5 repeats the windows of 3
     now = df.limit(0)
     for _, stage in cp.STAGES:
         now = stage(spark, now, SMALL)
