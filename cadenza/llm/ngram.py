@@ -35,7 +35,8 @@ END = np.uint64(0)
 ORDER = 3
 #: Prior strength by order, from 2 up.
 PRIOR = (1000.0, 300.0)
-#: N-grams of the highest order (from 3 up) seen less often are left to the order below.
+#: N-grams of the highest order (from 3 up) seen less often are left to the order below, unless `least` says otherwise: with
+#: 1 all are kept.  What is left out stays in its context's count, so that context's probabilities then sum to less than 1.
 LEAST = 2
 SHARD_TOKENS = 4_000_000
 FLUSH = 3_000_000
@@ -363,16 +364,18 @@ def _below(t: Trie, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.n
         weight[m] = _value(f.weight[at])
     total = t.prior[1] * (10.0**-weight - 1)
     middle, total = middle[inverse], total[inverse]
-    key = np.unique(np.stack([middle, word]), axis=1, return_inverse=True)
-    place, prob, _ = find_grams(t, 2, key[0][0], key[0][1])
+    key, inv = np.unique(middle.astype(_U) * _U(t.words) + word.astype(_U), return_inverse=True)
+    place, prob, _ = find_grams(t, 2, (key // _U(t.words)).astype(np.int64), (key % _U(t.words)).astype(np.int64))
     uc, ui = np.unique(middle, return_inverse=True)
     back = np.log10(t.prior[0] / (counts_of(t, uc) + t.prior[0]))[ui]
-    inv = key[1].reshape(-1)
     return np.where(place[inv] >= 0, _value(prob[inv]), back + one), total
 
 
 def build(texts: DataFrame, text_col: str = "text", *, order: int = ORDER, prior: tuple[float, ...] = PRIOR, least: int = LEAST, shard_tokens: int = SHARD_TOKENS) -> Trie:
-    """A trie of all n-grams of the texts (null: empty), up to order 3.  Every text counts; nothing is sampled."""
+    """A trie of the n-grams of the texts (null: empty), up to order 3.  Every text counts; nothing is sampled.
+
+    With least=1 it has all of them; above that, trigrams seen less often are counted but not stored.
+    """
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
     spark = texts.sparkSession

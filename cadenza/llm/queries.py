@@ -59,7 +59,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held_out_scores(read(spark, sf_dir, "documents"))
+    return held_out_scores(read(spark, sf_dir, "documents"), least=1)
 
 
 @query

@@ -5,12 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cadenza.llm import eliasfano as ef
 from cadenza.llm import ngram
+from cadenza.llm import textvec as tv
+from cadenza.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,3 +94,28 @@ def test_against_brute_force(spark, order, shard):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram.held_out_scores(df).collect() == []
+
+
+def test_query_keeps_trigrams_seen_once(spark, tmp_path):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    train = [(i, " ".join(rng.choices(words, k=60))) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [(i, train[i % len(train)][1]) for i in range(1000, 1040) if zlib.crc32(str(i).encode()) % 7 == 2]
+    spark.createDataFrame(train + held, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_ngram"](spark, str(tmp_path)).collect()}
+    want, pruned = (brute(train + held, 3, ngram.PRIOR, k) for k in (1, 2))
+    for d, _ in train + held:
+        assert abs(got[d].score - want[d][5]) < 2e-3 * want[d][1]
+    assert all(want[d][5] - pruned[d][5] > 0.1 * want[d][1] for d, _ in held)
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    docs = spark.createDataFrame([("a b c d",), ("a b e",), ("a b c",), ("b f",)], "text string")
+    t = ngram.build(docs, least=1, prior=(9.0, 3.0))
+    unknown = 10.0 ** ngram.word_logs(t, np.zeros(1, np.int64))[0]  # of one word not in the trie
+    n = 0.0
+    for w in "abcdef":
+        n += 10.0 ** ngram.walk(t, next(iter(tv.blocks(pa.array([f"a b {w}"]))))).logs[2]
+    n += 10.0 ** ngram.walk(t, next(iter(tv.blocks(pa.array(["a b"]))))).logs[2]
+    back = 3.0 / (3 + 3.0) * 9.0 / (4 + 9.0)  # a b: 3 times, b: 4 times
+    assert abs(n + back * unknown - 1) < 2e-3
