@@ -70,10 +70,10 @@ def location_uri(path: Column) -> Column:
     """file://localhost and the path: slashes forward, one before a drive, other bytes escaped where they must be."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     p = F.when(has_drive(p), F.concat(F.lit("/"), p)).otherwise(p)
-    code = [ord(c) for c in URI_ESCAPED]
-    escape = lambda b: (b < 32) | (b >= 127) | b.isin(code)
-    one = lambda b: F.when(escape(b), F.concat(F.lit("%"), F.lpad(F.hex(b), 2, "0"))).otherwise(F.chr(b))
-    return F.concat(F.lit("file://localhost"), F.array_join(F.transform(_bytes(p), one), ""))
+    plain = "".join(f"\\x{c:02X}" for c in range(32, 127) if chr(c) not in URI_ESCAPED)
+    runs = F.regexp_extract_all(p, F.lit(f"[{plain}]+|[^{plain}]+"), F.lit(0))  # in all as long as the path
+    one = lambda x: F.when(x.rlike(f"^[{plain}]"), x).otherwise(F.regexp_replace(F.hex(F.encode(x, "utf-8")), "(..)", "%$1"))
+    return F.concat(F.lit("file://localhost"), F.array_join(F.transform(runs, one), ""))
 
 
 def title(tag: Column, path: Column) -> Column:

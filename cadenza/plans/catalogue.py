@@ -83,6 +83,13 @@ def location_uri(spark: SparkSession, sf: str) -> DataFrame:
     return p.union(d).distinct().withColumn("uri", paths.location_uri(F.col("path")))
 
 
+@query()
+def location_uri_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as paths, a row per document; location_uri has prefixes, as its SQL has."""
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("C:\\My Music\\"), "text", F.lit("#1.mp3")).alias("path"))
+    return d.withColumn("uri", paths.location_uri(F.col("path")))
+
+
 @query(f"""SELECT path, CASE lower(regexp_extract(path, '[^/][.]([^./]+)$', 1)) WHEN 'mp3' THEN 'mp3' WHEN 'wav' THEN 'wav' WHEN 'flac' THEN 'flac' ELSE 'aiff' END AS format, size_bytes
     FROM {_SQL_FILES} WHERE lower(regexp_extract(path, '[^/][.]([^./]+)$', 1)) IN ('mp3', 'wav', 'flac', 'aiff', 'aif')""")
 def format_filter(spark: SparkSession, sf: str) -> DataFrame:
