@@ -25,7 +25,7 @@ BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 3
 #: Labelled rows that are learnt from at most, chosen by a hash of their id.
-MAX_ROWS = 5000
+MAX_ROWS = 6000
 
 
 def subwords(block: tv.Block, start: np.ndarray, end: np.ndarray, low: int = 3, high: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -129,3 +129,11 @@ def test_tables(spark, module, run, label):
         assert r.predicted == (r.score >= (0.5 if label == "toxic" else 0.3))
     assert run(docs.limit(0), labels).collect() == []
     assert {round(r.score, 9) for r in run(docs, labels.limit(0)).collect()} == {0.333333333 if label == "toxic" else 0.5}
+
+
+def test_toxicity_learns_from_6000_rows(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    sizes = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append((len(texts), len(y))))
+    toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 as toxic"))
+    assert sizes == [(6000, 6000)]
