@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from cadenza.llm import textvec as tv
 from cadenza.llm.arrow import add_columns
 from cadenza.llm.tokens import TOKENIZER, encoder, tokenizer_path
-from cadenza.session import scratch
+from cadenza.session import scratch, stored
 
 #: Tokenizer versions: runs of characters outside ASCII white space, and a public BPE file's ids.
 TOKENIZERS = ("words-1", "word_bpe_49k-1")
@@ -137,9 +137,30 @@ class Rollup:
         return d.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 
+def keyed(counts: DataFrame) -> DataFrame:
+    """`counts`, in which each row without an id has one of its own, below all that are there (and below 0)."""
+    low = counts.agg(F.least(F.min("doc_id"), F.lit(0)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    if not low[1]:
+        return counts
+    own = F.lit(low[0] - 1) - F.monotonically_increasing_id()
+    return stored(counts.withColumn("doc_id", F.coalesce("doc_id", own)), "keyed")  # written, so each batch has the same ids
+
+
 def token_counts(docs: DataFrame, **how) -> DataFrame:
-    """Totals of a new rollup in which all of `docs` are one batch, sent twice, as by a job that runs again."""
+    """Totals of a new rollup of all of `docs` in four batches, each sent twice, as by a job that runs again.
+
+    They are: all documents, with one token too many; their counts revised; all documents deleted; and all put back.  Rows
+    without an id are documents of their own; of several rows of one id, one counts, as in apply().
+    """
     r = Rollup(docs.sparkSession, scratch(docs.sparkSession, "rollup"))
-    for _ in range(2):
-        r.apply("documents", counted(docs, **how))
+    counts = keyed(stored(counted(docs, **how), "counts"))
+    batches = {
+        "documents": (counts.withColumn("n_tokens", F.col("n_tokens") + 1), None),
+        "revised": (counts, None),
+        "deleted": (None, counts.select("doc_id")),
+        "reinserted": (counts, None),
+    }
+    for name, (upserts, deletes) in batches.items():
+        for _ in range(2):
+            r.apply(name, upserts, deletes)
     return r.totals()

@@ -68,3 +68,22 @@ def test_query_against_brute_force(spark):
     got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in token_counts(docs).collect()}
     assert got == {k: (n[k], t[k]) for k in n}
     assert token_counts(docs.limit(0)).collect() == []
+
+
+def test_query_revises_deletes_and_puts_back(spark, monkeypatch):
+    rows = [(1, "one two", "s", "en"), (-7, "x", "s", "en"), (None, "a b c", "s", "en"), (None, "d", "s", "en"), (None, "d", "s", "en"), (None, None, None, None)]
+    made, sums, apply = [], [], Rollup.apply
+
+    def watched(self, batch, *a):
+        new = apply(self, batch, *a)
+        made.append((batch, new))
+        sums.append(totals(self))
+        return new
+
+    monkeypatch.setattr(Rollup, "apply", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in token_counts(df, tokenizers=("words-1",)).collect()}
+    assert made == [(b, new) for b in ("documents", "revised", "deleted", "reinserted") for new in (True, False)]
+    want = {("s", "en", "words-1"): (5, 8), (None, None, "words-1"): (1, 0)}
+    assert sums[0] == sums[1] == {("s", "en", "words-1"): (5, 13), (None, None, "words-1"): (1, 1)}
+    assert sums[2] == sums[3] == want and sums[4] == sums[5] == {} and sums[6] == sums[7] == got == want
