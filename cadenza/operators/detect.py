@@ -21,7 +21,7 @@ MINOR = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
 LOW_BPM, HIGH_BPM = 60.0, 200.0
 KEY_WINDOW, ONSET_WINDOW, ONSET_HOP = 4096, 1024, 256
 # Tempo around which a genre's tracks lie, for the optional prior.
-GENRE_BPM = {"dnb": 174.0, "house": 124.0}
+GENRE_BPM = {"dnb": 174.0, "house": 124.0, "techno": 130.0, "trance": 138.0, "dubstep": 140.0, "hiphop": 90.0, "pop": 118.0, "rock": 120.0}
 
 
 @dataclass

@@ -179,3 +179,8 @@ def test_command_line(tmp_path):
     for bad in (["-i", "/nowhere", "-o", "x"], ["-i", str(tmp_path), "-o", "/no/such/dir/o"], ["-i", ".", "-o", "x", "--genre", "polka"]):
         with pytest.raises(SystemExit):
             cli.parse(bad)
+
+
+def test_each_genre_of_the_command_line_has_a_tempo():
+    assert set(detect.GENRE_BPM) == set(cli.GENRES)
+    assert all(detect.LOW_BPM <= x <= detect.HIGH_BPM for x in detect.GENRE_BPM.values())
