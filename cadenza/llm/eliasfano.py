@@ -50,6 +50,7 @@ class EliasFano:
         self.n, self.width, self.first, self.top = n, width, first, top
         self.low = np.ndarray((max(0, len(low) - 7),), "<u8", low.data, strides=(1,))
         self.vector, self.ones = vector, ones
+        self.bits = np.ndarray((max(0, len(vector) - 7),), "<u8", vector.data, strides=(1,))
         self.zeros = None
         self.mask = _U((1 << width) - 1)
 
@@ -73,11 +74,36 @@ class EliasFano:
         inner = k - (s << _U(8) >> place & _U(0xFF))
         return (place + _SELECT[(x >> place & _U(0xFF)).astype(np.int64), inner.astype(np.int64)]).astype(np.int64)
 
+    def _run(self, at: np.ndarray, flip: bool) -> tuple[np.ndarray, np.ndarray]:
+        """How many zeros (or, flipped, ones) follow from bit `at` on, and whether they end within the 57 bits or more read."""
+        shift = (at & 7).astype(_U)
+        x = self.bits[at >> 3] >> shift
+        if flip:
+            x = ~x
+        n = np.bitwise_count((x & (_U(0) - x)) - _U(1)).astype(np.int64)
+        return n, n < 64 - shift.astype(np.int64)
+
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
+        return word * 64 + self._in_word(word, i - self.ones[word].astype(np.int64), False)
+
+    def _values(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (((at - i).astype(_U) << _U(self.width)) | self._low(i)) + _U(self.first)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.ones, i, "right") - 1
-        at = word * 64 + self._in_word(word, i - self.ones[word].astype(np.int64), False)
-        return (((at - i).astype(_U) << _U(self.width)) | self._low(i)) + _U(self.first)
+        return self._values(i, self._select(i))
+
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1: the second one's bit is the next that is set."""
+        i = np.asarray(i, np.int64)
+        at = self._select(i)
+        gap, near = self._run(at + 1, False)
+        after = at + 1 + gap
+        far = np.flatnonzero(~near)
+        if len(far):
+            after[far] = self._select(i[far] + 1)
+        return self._values(i, at), self._values(i + 1, after)
 
     def _upto(self, h: np.ndarray) -> np.ndarray:
         """Elements whose upper part is h or less, for -1 <= h <= top."""
@@ -92,6 +118,21 @@ class EliasFano:
             out[m] = word * 64 + self._in_word(word, k - self.zeros[word], True) - k
         return out
 
+    def _among(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements whose upper part is h, for 0 <= h <= top: the ones that follow the zero before."""
+        if self.zeros is None:
+            self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones.astype(np.int64)
+        k = h - 1
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        at = np.where(k >= 0, word * 64 + self._in_word(np.maximum(word, 0), np.maximum(k - self.zeros[np.maximum(word, 0)], 0), True), -1)
+        lo = at - k
+        n, near = self._run(at + 1, True)
+        hi = np.minimum(lo + n, self.n)
+        far = np.flatnonzero(~near)
+        if len(far):
+            hi[far] = self._upto(h[far])
+        return lo, hi
+
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """The position of each value, within begin..end if given, or -1: a search for its successor among equal upper parts."""
         x = np.asarray(x, _U)
@@ -102,7 +143,7 @@ class EliasFano:
         h = (y >> _U(self.width)).astype(np.int64)
         ok = np.flatnonzero((x >= _U(self.first)) & (h >= 0) & (h <= self.top))
         y, h = y[ok], h[ok]
-        lo, hi = self._upto(h - 1), self._upto(h)
+        lo, hi = self._among(h)
         if begin is not None:
             lo, hi = np.maximum(lo, begin[ok]), np.minimum(hi, end[ok])
         want = y & self.mask

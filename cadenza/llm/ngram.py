@@ -17,6 +17,7 @@ word makes a large shard; the number of shards follows the number of tokens.  Wo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -93,53 +94,60 @@ def _gram_shard(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarra
     return ((tv.mix(context.astype(_U) * _U(0x9E3779B97F4A7C15) + word.astype(_U)) >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of an ascending array: only values that are there cost anything."""
+    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(x[a]), a, b
+
+
 def find_words(t: Trie, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids (or -1) and counts (or 0) of ascending hashes."""
     level = t.levels[0]
     ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-    cut = np.searchsorted(_word_shard(h, len(level.paths)), np.arange(len(level.paths) + 1))
-    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if a < b:
-            f = mapped(level.paths[k])
-            at = _codec(f).find(h[a:b])
-            ok = at >= 0
-            ids[a:b][ok] = at[ok] + level.base[k]
-            counts[a:b][ok] = f.counts[at[ok]]
+    for k, a, b in _runs(_word_shard(h, len(level.paths))):
+        f = mapped(level.paths[k])
+        at = _codec(f).find(h[a:b])
+        ok = at >= 0
+        ids[a:b][ok] = at[ok] + level.base[k]
+        counts[a:b][ok] = f.counts[at[ok]]
     return ids, counts
 
 
 def counts_of(t: Trie, ids: np.ndarray) -> np.ndarray:
+    """Counts of ascending ids."""
     level = t.levels[0]
     out = np.empty(len(ids), np.int64)
-    shard = np.searchsorted(level.base, ids, "right") - 1
-    for k in np.unique(shard):
-        m = shard == k
-        out[m] = mapped(level.paths[k]).counts[ids[m] - level.base[k]]
+    for k, a, b in _runs(np.searchsorted(level.base, ids, "right") - 1):
+        out[a:b] = mapped(level.paths[k]).counts[ids[a:b] - level.base[k]]
     return out
 
 
 def find_grams(t: Trie, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in level n (or -1), quantised probabilities, and quantised weights of the n-grams as contexts."""
-    level = t.levels[n - 1]
+    level, contexts = t.levels[n - 1], t.levels[n - 2].n + 1
     place, prob, weight = np.full(len(word), -1, np.int64), np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
     shard = _gram_shard(context, word, len(level.paths))
-    order = np.lexsort((context, shard))
-    cut = np.searchsorted(shard[order], np.arange(len(level.paths) + 1))
-    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if a == b or level.base[k] == level.base[k + 1]:
+    if len(level.paths) * contexts < 1 << 63:
+        order = np.argsort(shard * contexts + context)
+    else:
+        order = np.lexsort((context, shard))
+    for k, a, b in _runs(shard[order]):
+        if level.base[k] == level.base[k + 1]:
             continue
         f, m = mapped(level.paths[k]), order[a:b]
-        number = _codec(f, "contexts_").find(context[m])
-        m, number = m[number >= 0], number[number >= 0]
-        if not len(m):
-            continue
-        pointers = _codec(f, "pointers_")
-        both, inverse = np.unique(number, return_inverse=True)
-        edge = np.unique(np.concatenate([both, both + 1]))
-        value, at = pointers.access(edge).astype(np.int64), np.searchsorted(edge, both)
-        begin, end = value[at][inverse], value[at + 1][inverse]
-        at = _codec(f).find(number.astype(_U) * _U(t.words) + word[m].astype(_U), begin, end)
-        m, at = m[at >= 0], at[at >= 0]
+        c = context[m]  # ascending
+        new = np.concatenate(([True], c[1:] != c[:-1]))
+        number = _codec(f, "contexts_").find(c[new])
+        begin, end = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        held = np.flatnonzero(number >= 0)
+        begin[held], end[held] = (x.astype(np.int64) for x in _codec(f, "pointers_").access_pairs(number[held]))
+        own = np.cumsum(new) - 1
+        there = np.flatnonzero(number[own] >= 0)
+        m, own = m[there], own[there]
+        at = _codec(f).find(number[own].astype(_U) * _U(t.words) + word[m].astype(_U), begin[own], end[own])
+        hit = np.flatnonzero(at >= 0)
+        m, at = m[hit], at[hit]
         place[m], prob[m] = at + level.base[k], f.prob[at]
         if "weight" in f.places:
             weight[m] = f.weight[at]
@@ -207,26 +215,38 @@ def walk(t: Trie, block: tv.Block) -> Walk:
 
 
 class _Counter:
-    """Counts of pairs (a, b) of one task, combined when they grow."""
+    """Counts of keys (or of pairs of them) of one task, combined when they grow."""
 
-    def __init__(self, pair: bool):
-        self.pair, self.parts, self.size = pair, [], 0
+    def __init__(self, pair: bool = False):
+        self.pair, self.raw, self.held, self.size = pair, [], None, 0
 
     def add(self, *keys: np.ndarray) -> None:
-        self.parts.append((*keys, np.ones(len(keys[0]), np.int64)))
+        self.raw.append(keys)
         self.size += len(keys[0])
 
+    def fold(self) -> None:
+        """Combine what was added; `size` is then the number of distinct keys."""
+        cols = [np.concatenate(x) for x in zip(*self.raw, strict=True)] if self.raw else []
+        self.raw = []
+        if cols:
+            if self.pair:
+                cols = combine([*cols, np.ones(len(cols[0]), np.int64)])
+            else:
+                x = np.sort(cols[0])
+                at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+                cols = (x[at], np.diff(np.append(at, len(x))))
+            self.held = cols if self.held is None else combine([np.concatenate(x) for x in zip(self.held, cols, strict=True)])
+        self.size = len(self.held[0]) if self.held is not None else 0
+
     def take(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return tuple(np.zeros(0, _U) for _ in range(2 + self.pair))
-        cols = [np.concatenate([p[i] for p in self.parts]) for i in range(2 + self.pair)]
-        self.parts, self.size = [], 0
-        return combine(cols)
+        self.fold()
+        out, self.held, self.size = self.held, None, 0
+        return tuple(np.zeros(0, _U) for _ in range(2 + self.pair)) if out is None else tuple(out)
 
 
 def combine(cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Sum the last column by the ones before it, ascending."""
-    order = np.argsort(cols[0], kind="stable") if len(cols) == 2 else np.lexsort((cols[1], cols[0]))
+    order = np.argsort(cols[0]) if len(cols) == 2 else np.lexsort((cols[1], cols[0]))
     keys = [c[order] for c in cols[:-1]]
     new = np.ones(len(order), bool)
     if len(order):
@@ -255,23 +275,21 @@ def _unsqueeze(blob: bytes, columns: int) -> list[np.ndarray]:
 
 
 def _emit(cols: tuple[np.ndarray, ...], shard: np.ndarray, shards: int):
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    for k in range(shards):
-        m = order[cut[k] : cut[k + 1]]
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # so keys stay ascending
+    for k, a, b in _runs(shard[order]):
+        m = order[a:b]
         if len(m):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_squeeze(tuple(c[m] for c in cols))], pa.binary())], names=["shard", "blob"])
 
 
 def _count_words(shards: int):
     def run(batches):
-        c = _Counter(False)
+        c = _Counter()
         for batch in batches:
             for block in tv.blocks(batch.column(0), BLOCK_BYTES):
                 c.add(_streams(block)[0])
                 if c.size > FLUSH:
-                    c.parts = [c.take()]
-                    c.size = len(c.parts[0][0])
+                    c.fold()
                     if c.size > FLUSH // 2:
                         h, n = c.take()
                         yield from _emit((h.view(np.int64), n), _word_shard(h, shards), shards)
@@ -294,9 +312,22 @@ def _write_words(folder: str):
     return run
 
 
+def _packed(t: Trie, n: int) -> bool:
+    """Can a context's place in level n - 1 and a word share one 64-bit key?"""
+    return (t.levels[n - 2].n + 1) * (t.words + 1) < 1 << 63
+
+
 def _count_grams(t: Trie, n: int, shards: int):
     def run(batches):
-        c = _Counter(True)
+        packed = _packed(t, n)
+        c = _Counter(not packed)
+
+        def out():
+            cols = c.take()
+            key = cols[0] // _U(t.words), cols[0] % _U(t.words)
+            a, b = (x.astype(np.int64) for x in (key if packed else cols[:2]))
+            yield from _emit((*((cols[0].view(np.int64),) if packed else (a, b)), cols[-1]), _gram_shard(a, b, shards), shards)
+
         end_id = int(find_words(t, np.array([END]))[0][0])
         for batch in batches:
             for block in tv.blocks(batch.column(0), BLOCK_BYTES):
@@ -305,15 +336,15 @@ def _count_grams(t: Trie, n: int, shards: int):
                 context[1:] = w.places[:-1]
                 context[w.bounds[:-1]] = end_id if n == 2 else -1
                 ok = context >= 0
-                c.add(context[ok], w.ids[ok])
+                if packed:
+                    c.add(context[ok].astype(_U) * _U(t.words) + w.ids[ok].astype(_U))
+                else:
+                    c.add(context[ok], w.ids[ok])
                 if c.size > FLUSH:
-                    c.parts = [c.take()]
-                    c.size = len(c.parts[0][0])
+                    c.fold()
                     if c.size > FLUSH // 2:
-                        a, b, m = c.take()
-                        yield from _emit((a, b, m), _gram_shard(a, b, shards), shards)
-        a, b, m = c.take()
-        yield from _emit((a, b, m), _gram_shard(a, b, shards), shards)
+                        yield from out()
+        yield from out()
 
     return run
 
@@ -321,13 +352,20 @@ def _count_grams(t: Trie, n: int, shards: int):
 def _write_grams(t: Trie, n: int, folder: str, last: bool, least: int):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("shard")[0].as_py()
-        cols = [_unsqueeze(b.as_py(), 3) for b in table.column("blob")]
-        context, word, count = combine([np.concatenate([c[i] for c in cols]) for i in range(3)])
+        width = 2 if _packed(t, n) else 3
+        cols = [_unsqueeze(b.as_py(), width) for b in table.column("blob")]
+        cols = combine([np.concatenate([c[i] for c in cols]) for i in range(width)])
+        if width == 2:
+            context = (cols[0].view(_U) // _U(t.words)).astype(np.int64)
+            word, count = (cols[0].view(_U) % _U(t.words)).astype(np.int64), cols[1]
+        else:
+            context, word, count = cols
         del cols
         if least > 1:
             context, word, count = (x[count >= least] for x in (context, word, count))
-        held, begin = np.unique(context, return_index=True)
-        number = np.repeat(np.arange(len(held)), np.diff(np.append(begin, len(context))))
+        new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        held, number = context[begin], np.cumsum(new) - 1
         m = t.prior[n - 2]
         below, total = _below(t, n, context, word)
         prob = np.log10((count + m * 10.0**below) / (total + m))
@@ -346,29 +384,25 @@ def _write_grams(t: Trie, n: int, folder: str, last: bool, least: int):
 
 
 def _below(t: Trie, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(word | context without its first word), and the context's count."""
+    """log10 P(word | context without its first word), and the context's count; contexts ascend."""
     u, inverse = np.unique(word, return_inverse=True)
     one = word_logs(t, counts_of(t, u))[inverse]
+    new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
+    u, inverse = context[new], np.cumsum(new) - 1
     if n == 2:
-        u, inverse = np.unique(context, return_inverse=True)
         return one, counts_of(t, u)[inverse]
     # n == 3: the context is a place in level 2, which gives its last word and its weight, from which its count follows
-    u, inverse = np.unique(context, return_inverse=True)
     level = t.levels[1]
-    shard = np.searchsorted(level.base, u, "right") - 1
     middle, weight = np.empty(len(u), np.int64), np.empty(len(u))
-    for k in np.unique(shard):
-        f, m = mapped(level.paths[k]), np.flatnonzero(shard == k)
-        at = u[m] - level.base[k]
-        middle[m] = (_codec(f).access(at) % _U(t.words)).astype(np.int64)
-        weight[m] = _value(f.weight[at])
+    for k, a, b in _runs(np.searchsorted(level.base, u, "right") - 1):
+        f, at = mapped(level.paths[k]), u[a:b] - level.base[k]
+        middle[a:b] = (_codec(f).access(at) % _U(t.words)).astype(np.int64)
+        weight[a:b] = _value(f.weight[at])
     total = t.prior[1] * (10.0**-weight - 1)
-    middle, total = middle[inverse], total[inverse]
-    key, inv = np.unique(middle.astype(_U) * _U(t.words) + word.astype(_U), return_inverse=True)
-    place, prob, _ = find_grams(t, 2, (key // _U(t.words)).astype(np.int64), (key % _U(t.words)).astype(np.int64))
-    uc, ui = np.unique(middle, return_inverse=True)
-    back = np.log10(t.prior[0] / (counts_of(t, uc) + t.prior[0]))[ui]
-    return np.where(place[inv] >= 0, _value(prob[inv]), back + one), total
+    v, back = np.unique(middle, return_inverse=True)
+    known = counts_of(t, v)[back]
+    place, prob, _ = find_grams(t, 2, middle[inverse], word)
+    return np.where(place >= 0, _value(prob), np.log10(t.prior[0] / (known + t.prior[0]))[inverse] + one), total[inverse]
 
 
 def build(texts: DataFrame, text_col: str = "text", *, order: int = ORDER, prior: tuple[float, ...] = PRIOR, least: int = LEAST, shard_tokens: int = SHARD_TOKENS) -> Trie:
