@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step replaces edges by edges to a neighbourhood's smallest node: large-star moves a node's larger neighbours,
-small-star its smaller ones.  Both are one minimum per node (combined before the shuffle) and one join back, which
-adaptive execution splits when a node is hot; no neighbourhood is ever gathered.
+small-star its smaller ones.  Both are one minimum per node (combined before the shuffle) and one join back; no
+neighbourhood is ever gathered.  The minima are dealt anew before the join (`rebalance`): adaptive execution splits a hot
+node's rows only where neither side's partitioning is an aggregate's.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ def _digest(edges: DataFrame) -> tuple[int, int, int]:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).hint("rebalance")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    moved = down.join(low.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -49,6 +50,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 100) -
         e, now = new, _digest(new)
         if now == seen:
             roots = e.select(F.col("v").alias("node")).distinct()
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component"))).distinct()
+            return stored(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "labels")
         seen = now
     raise RuntimeError(f"components did not converge in {limit} rounds")

@@ -1,8 +1,10 @@
 import random
 import re
 
+from cadenza.llm import minhash
 from cadenza.llm.components import components
 from cadenza.llm.minhash import near_duplicates
+from cadenza.session import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,3 +84,59 @@ def test_query_equals_sql(spark):
     from oracle import SMALL, same
 
     same(spark, QUERIES["op10_minhash"](spark, SMALL), ORACLES["op10_minhash"])
+
+
+def relatives(n, seed=11, words=200, changed=9):
+    """n texts that are near copies of one, whose similarity to each other lies about the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in range(rng.choice([1, 2, 4, changed])):
+            w[rng.randrange(words)] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_hot_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 20)
+    monkeypatch.setattr(minhash, "ASK", 7)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)  # joins by shuffle
+    rows = relatives(150) + [(1000 + i, t) for i, t in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows)
+    for large in (3, 40):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, large=large).collect()}
+        assert got == want
+    assert len({c for _, c, _ in want.values()}) > 20
+
+
+def test_rows_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Four times as many near copies make about four times as many rows in every table that is written."""
+    made = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    sizes = []
+    for n in (1000, 4000):
+        made.clear()
+        rows = near_duplicates(spark.createDataFrame(relatives(n, words=120, changed=12), "doc_id long, text string")).collect()
+        assert len(rows) == n
+        sizes.append(dict(made))
+    small, large = sizes
+    assert large["members"] <= 4000 and large["spans"] <= 32 * 4000
+    for name, count in large.items():
+        assert count <= 5 * max(small.get(name, 0), 1000), (name, sizes)
+
+
+def test_rows_of_one_id(spark):
+    """They are one document, linked where any of its texts is; a null id takes the label of an equal text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (9, b + " more"), (5, c), (None, c), (None, "x y z"), (None, "x y z"), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(7, 36, 3, False)] * 3 + [(3, 37, 3, True), (9, 37, 3, False), (5, 36, 5, True), (None, 36, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
