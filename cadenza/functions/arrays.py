@@ -24,6 +24,11 @@ def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once; an expression that lambdas name is computed wherever they name it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def frames(x: Column, channels: int) -> Column:
     """Runs of `channels` samples; the last may be shorter."""
     n = F.ceil(F.size(x) / F.lit(channels))
@@ -106,14 +111,14 @@ def spectrum(x: Column, n: int, part: str = "magnitude") -> Column:
     y, w = x.cast("array<double>"), hann(n)
     wave = F.zip_with(F.slice(y, 1, n), w, lambda a, b: a * b)
 
-    def side(k: Column, f) -> Column:
+    def side(wave: Column, k: Column, f) -> Column:
         return _total(F.transform(wave, lambda v, i: v * f(F.lit(2 * math.pi / n) * ((k * i) % n))))
 
-    def bin_(k: Column) -> Column:
-        re, im = side(k, F.cos), -side(k, F.sin)
+    def bin_(wave: Column, k: Column) -> Column:
+        re, im = side(wave, k, F.cos), -side(wave, k, F.sin)
         return F.hypot(re, im) if part == "magnitude" else F.atan2(im, re)
 
-    return F.transform(_upto(F.lit(n // 2 + 1)), bin_)
+    return bound(wave, lambda v: F.transform(_upto(F.lit(n // 2 + 1)), lambda k: bin_(v, k)))
 
 
 def from_polar(magnitude: Column, phase: Column) -> Column:
@@ -127,11 +132,15 @@ def pcm16(x: Column) -> Column:
 
 def autocorrelation(x: Column, low: int, high: int) -> Column:
     """Sums of products at lags low .. high of the samples less their mean."""
+
+    def sums(z: Column) -> Column:
+        n = F.size(z)
+        both = lambda k: F.zip_with(F.slice(z, F.lit(1), F.greatest(n - k, F.lit(0))), F.slice(z, k + 1, F.greatest(n - k, F.lit(0))), lambda a, b: a * b)
+        return F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: _total(both(k)))
+
     y = x.cast("array<double>")
-    mean = _total(y) / F.size(y)
-    z = F.transform(y, lambda v: v - mean)
-    n = F.size(y)
-    return F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: _total(F.zip_with(F.slice(z, F.lit(1), F.greatest(n - k, F.lit(0))), F.slice(z, k + 1, F.greatest(n - k, F.lit(0))), lambda a, b: a * b)))
+    centred = bound(_total(y) / F.size(y), lambda mean: F.transform(y, lambda v: v - mean))
+    return bound(centred, sums)
 
 
 def duration(samples: Column, rate: Column) -> Column:

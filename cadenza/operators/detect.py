@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions import arrays
 from cadenza.functions.keys import NOTES
 
 # Key profiles by scale degree (Krumhansl and Kessler, 1982).
@@ -143,7 +144,13 @@ def spectra(df: DataFrame, id_col: str, samples_col: str, n: int) -> DataFrame:
     def run(batches):
         w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / n))
         for pdf in batches:
-            pdf["x"] = [None if v is None else np.abs(np.fft.rfft(np.pad(np.asarray(v, float)[:n], (0, max(0, n - len(v)))) * w)) for v in pdf.pop(samples_col)]
+            given = pdf.pop(samples_col)
+            x = np.zeros((len(given), n))
+            for row, v in zip(x, given, strict=True):
+                if v is not None:
+                    row[: len(v)] = v[:n]
+            made = np.abs(np.fft.rfft(x * w, axis=1))
+            pdf["x"] = [None if v is None else y for v, y in zip(given, made, strict=True)]
             yield pdf
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -152,13 +159,16 @@ def spectra(df: DataFrame, id_col: str, samples_col: str, n: int) -> DataFrame:
 
 def key_scores(histogram: Column) -> Column:
     """array<struct<pitch_class, is_minor, score>>: correlations of a 12-bin histogram with all rotated profiles."""
-    out = []
-    centre = lambda c: F.transform(c, lambda v: v - F.aggregate(c, F.lit(0.0), lambda a, b: a + b) / 12)
+    centre = lambda c: arrays.bound(F.aggregate(c, F.lit(0.0), lambda a, b: a + b) / 12, lambda mean: F.transform(c, lambda v: v - mean))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    h = centre(histogram)
-    for minor, profile in ((False, MAJOR), (True, MINOR)):
-        for p in range(12):
-            w = np.roll(profile, p) - np.mean(profile)
-            score = dot(h, F.array(*map(F.lit, w.tolist()))) / F.sqrt(dot(h, h) * F.lit(float((w**2).sum())))
-            out.append(F.struct(F.lit(p).alias("pitch_class"), F.lit(minor).alias("is_minor"), score.alias("score")))
-    return F.array(*out)
+
+    def scores(h: Column, square: Column) -> Column:
+        out = []
+        for minor, profile in ((False, MAJOR), (True, MINOR)):
+            for p in range(12):
+                w = np.roll(profile, p) - np.mean(profile)
+                score = dot(h, F.array(*map(F.lit, w.tolist()))) / F.sqrt(square * F.lit(float((w**2).sum())))
+                out.append(F.struct(F.lit(p).alias("pitch_class"), F.lit(minor).alias("is_minor"), score.alias("score")))
+        return F.array(*out)
+
+    return arrays.bound(centre(histogram), lambda h: arrays.bound(dot(h, h), lambda square: scores(h, square)))

@@ -304,6 +304,38 @@ def chroma_key_scores(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", F.explode(detect.key_scores(F.col("h"))).alias("s")).select("vec_id", "s.pitch_class", "s.is_minor", F.round("s.score", 5).alias("score"))
 
 
+@query(_sql_cells(f"""SELECT vec_id, flatten(list_transform(range(0, 33), lambda k: [list_sum(list_transform(y, lambda v, j: v * cos(2 * pi() * k * (j - 1) / 64))),
+      -list_sum(list_transform(y, lambda v, j: v * sin(2 * pi() * k * (j - 1) / 64)))])) AS x FROM {_SQL_WAVE}"""))
+def polar_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Magnitude and phase of each bin, put together again: its real and imaginary part."""
+    e = _samples(spark, sf)
+    m, p = (arrays.spectrum(F.col("e"), 64, part) for part in ("magnitude", "phase"))
+    x = F.flatten(F.transform(arrays.from_polar(m, p), lambda z: F.array(z["re"], z["im"])))
+    return _cells(e.select("vec_id", x.alias("x")), "vec_id")
+
+
+@query("SELECT vec_id, label AS rate, CASE WHEN label > 0 THEN len(embedding)::DOUBLE / label ELSE 0.0 END AS seconds FROM embeddings")
+def buffer_seconds(spark: SparkSession, sf: str) -> DataFrame:
+    """Durations at odd rates, 0 among them."""
+    e = read(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("label").alias("rate"), arrays.duration(F.col("embedding"), F.col("label")).alias("seconds"))
+
+
+_SQL_ODD_CODES = """(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || 'A' WHEN 1 THEN p_size || 'X' WHEN 2 THEN 'B' WHEN 3 THEN (p_size + 230) || 'B' ELSE p_size || 'B' END AS code FROM part)"""
+
+
+@query(f"""WITH c AS (SELECT p_partkey, code, CASE WHEN length(code) >= 2 AND n BETWEEN 0 AND 255 THEN n ELSE 0 END AS n, right(code, 1) AS l
+      FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(code, '^([0-9]+)', 1) AS INT), -1) AS n FROM {_SQL_ODD_CODES})),
+    w AS (SELECT p_partkey, code, unnest([n, CASE WHEN n = 12 THEN 1 ELSE n + 1 END, CASE WHEN n = 1 THEN 12 ELSE n - 1 END, n]) AS k, unnest([l, l, l, CASE WHEN l = 'A' THEN 'B' ELSE 'A' END]) AS s, unnest([0, 1, 2, 3]) AS place FROM c WHERE n > 0)
+    SELECT p_partkey, code, place, CASE WHEN k BETWEEN 1 AND 12 AND s IN ('A', 'B') THEN k || s ELSE '' END AS near FROM w""")
+def compatible_odd_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of codes that are off the wheel, or no codes."""
+    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    code = F.when(k == 0, F.concat(size, F.lit("A"))).when(k == 1, F.concat(size, F.lit("X"))).when(k == 2, "B").when(k == 3, F.concat((F.col("p_size") + 230).cast("string"), F.lit("B"))).otherwise(F.concat(size, F.lit("B")))
+    p = read(spark, sf, "part").select("p_partkey", code.alias("code"))
+    return p.select("p_partkey", "code", F.posexplode(keys.compatible(F.col("code"))).alias("place", "near"))
+
+
 _SQL_TRACKS = f"""SELECT url AS path, {_sql_fnv("lower(replace(url, chr(92), '/'))")} AS track_id, (70 + page_id * 1000 % 110)::DOUBLE AS bpm, n || CASE WHEN m THEN 'm' ELSE '' END AS standard, CASE WHEN m THEN minor || 'A' ELSE major || 'B' END AS camelot
     FROM (SELECT *, length(html) % 24 % 12 AS q, length(html) % 24 >= 12 AS m FROM pages) JOIN {_SQL_WHEEL} ON q = p"""
 
