@@ -9,9 +9,17 @@ import sys
 
 from cadenza.errors import CadenzaError
 from cadenza.plans.library import Settings, run
+from cadenza.sources import documents
 
+# The names of genres.
 GENRES = ("house", "techno", "trance", "dnb", "dubstep", "hiphop", "pop", "rock")
 
+IMPORT = """
+The collection is in {path}. To take it over with its tempos and keys:
+  1. import that file as a collection in the player's XML view;
+  2. open the playlist that begins with "{playlist}";
+  3. import the playlist itself. Tracks that are dragged from it keep the tags they had."""
+
 
 def parse(argv: list[str] | None = None) -> tuple[Settings, argparse.Namespace]:
     p = argparse.ArgumentParser(prog="cadenza", description=__doc__)
@@ -19,7 +27,7 @@ def parse(argv: list[str] | None = None) -> tuple[Settings, argparse.Namespace]:
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--stems", action="store_true")
     p.add_argument("--stems-output")
-    p.add_argument("--separator", default="onnx", choices=("onnx", "copies", "none"))
+    p.add_argument("--separator", default="onnx", choices=("onnx", "none"))
     p.add_argument("--genre", choices=GENRES)
     p.add_argument("-j", "--threads", type=int, default=0)
     p.add_argument("-r", "--recursive", action=argparse.BooleanOptionalAction, default=True)
@@ -54,6 +62,10 @@ def main(argv: list[str] | None = None) -> int:
         spark.stop()
     if not a.quiet:
         print(f"{r.total} files: {r.successful} analysed, {r.skipped} skipped, {r.failed} failed")
+        if r.analysed:
+            print(f"{r.analysed / max(r.seconds, 1e-9):.2f} tracks/s")
+        if r.xml:
+            print(IMPORT.format(path=r.xml, playlist=documents.PLAYLIST))
     return r.exit_code
 
 

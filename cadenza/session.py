@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A folder of our own is made only where the session names none."""
+    """The folder that driver and executors share; in local mode one of our own where the session names none."""
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"on a cluster {CHECKPOINT_DIR} must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cadenza-shared-")
         spark.conf.set(CHECKPOINT_DIR, named)
         _made.append(named)

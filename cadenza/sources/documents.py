@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterable
 from datetime import datetime
 from xml.sax.saxutils import quoteattr
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from cadenza import __version__
 from cadenza.errors import OutputError
 
+PLAYLIST = "Cadenza Import "
 JSON_VERSION = "1.0"
 JSON_NAME, XML_NAME = "cadenza.json", "collection.xml"
 PRODUCT = "cadenza"
@@ -45,7 +47,9 @@ def _replace(path: str, write: Callable) -> None:
 
 
 def _plain(x):
-    """A row as nested dicts without what is null."""
+    """A row as nested dicts without what is null; a number that isn't finite, which JSON can't express, becomes null."""
+    if isinstance(x, float) and not _finite(x):
+        return None
     if isinstance(x, Row):
         return {k: _plain(v) for k, v in x.asDict().items() if v is not None}
     return [_plain(v) for v in x] if isinstance(x, list) else x
@@ -105,8 +109,12 @@ def seconds_text(x: float | None) -> str:
     return str(int(x + 0.5)) if _finite(x) and x >= 0 else "0"
 
 
+#: Characters that XML 1.0 can't hold, not even escaped.
+_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\ud800-\udfff]")
+
+
 def _attributes(pairs: Iterable[tuple[str, object]]) -> str:
-    return "".join(f" {k}={quoteattr(str(v), {chr(10): '&#10;', chr(13): '&#13;', chr(9): '&#9;'})}" for k, v in pairs if v is not None)
+    return "".join(f" {k}={quoteattr(_NO_XML.sub('', str(v)), {chr(10): '&#10;', chr(13): '&#13;', chr(9): '&#9;'})}" for k, v in pairs if v is not None)
 
 
 def track_element(r: Row, now: datetime) -> str:
@@ -119,7 +127,7 @@ def track_element(r: Row, now: datetime) -> str:
     ]) + "/>"
 
 
-def write_xml(tracks: DataFrame, path: str, now: datetime, count: int, playlist: str = "Cadenza Import ") -> None:
+def write_xml(tracks: DataFrame, path: str, now: datetime, count: int, playlist: str = PLAYLIST) -> None:
     """`tracks` in its order, with uri; then a playlist of all of them."""
 
     def write(f):

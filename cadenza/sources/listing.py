@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,14 @@ def local_listing(spark: SparkSession, root: str, recursive: bool = True, exclud
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def store_listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Any folder that Spark can read, listed in parallel; contents are not read."""
+def store_listing(spark: SparkSession, root: str, recursive: bool = True, exclude: str | None = None) -> DataFrame:
+    """Any folder that Spark can read, listed in parallel; contents are not read, and files have no ordinal but their path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(root).select(F.lit(None).cast("long").alias("ordinal"), "path", F.col("length").alias("size_bytes"))
+    found = reader.load(root).select(F.lit(None).cast("long").alias("ordinal"), "path", F.col("length").alias("size_bytes"))
+    inner = lambda x: re.sub("^file:/+", "/", x).rstrip("/") + "/"  # noqa: E731  one spelling of a local path
+    return found if exclude is None else found.where(~F.regexp_replace("path", "^file:/+", "/").startswith(inner(exclude)))
+
+
+def is_file(path: str) -> bool:
+    """Is there a file at a local path?"""
+    return os.path.isfile(path)

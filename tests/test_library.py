@@ -1,15 +1,17 @@
+import hashlib
 import json
 import struct
 import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
-from cadenza import cli
-from cadenza.errors import DecodeError, FileMissing, InferenceError, UnsupportedFormat
+from cadenza import cli, session
+from cadenza.errors import DecodeError, FileMissing, InferenceError, StemUnavailable, UnsupportedFormat
 from cadenza.operators import detect, stems
 from cadenza.plans.library import Settings, run
-from cadenza.sources import audio, documents
+from cadenza.sources import audio, documents, listing
 from cadenza.streaming.watch import watch
 
 RATE = 44100
@@ -184,3 +186,148 @@ def test_command_line(tmp_path):
 def test_each_genre_of_the_command_line_has_a_tempo():
     assert set(detect.GENRE_BPM) == set(cli.GENRES)
     assert all(detect.LOW_BPM <= x <= detect.HIGH_BPM for x in detect.GENRE_BPM.values())
+
+
+def test_a_relative_input_has_absolute_uris(spark, tmp_path, monkeypatch):
+    wav(tmp_path / "music" / "sub" / "a b.wav", sine(440, 3.5))
+    monkeypatch.chdir(tmp_path)
+    for given, out in (("music", "one"), ("./music/", "two"), ("music/sub/a b.wav", "three")):
+        r = run(spark, Settings(given, str(tmp_path / out), detector="placeholder"))
+        assert r.successful == 1 and r.xml == str(tmp_path / out / documents.XML_NAME) and r.analysed == 1 and r.seconds > 0
+        row = ET.parse(r.xml).getroot().find("COLLECTION/TRACK")
+        assert row.get("Location") == f"file://localhost{tmp_path}/music/sub/a%20b.wav".replace("[", "%5B").replace("]", "%5D")
+        assert load(tmp_path / out)["tracks"][0]["path"].startswith(given)
+
+
+def test_a_store_as_input(spark, tmp_path):
+    music, out = tmp_path / "music", tmp_path / "music" / "out"
+    wav(music / "b.wav", sine(440, 3.5))
+    wav(music / "sub" / "a #1.wav", sine(440, 4))
+    (music / "notes.txt").write_text("x")
+    s = Settings(f"file://{music}", str(out), detector="placeholder", stems=True, separator="copies")
+    r = run(spark, s)
+    assert (r.total, r.successful) == (2, 2)
+    names = [t["path"].rsplit("/", 1)[1] for t in load(out)["tracks"]]
+    assert sorted(names) == ["a #1.wav", "b.wav"] and all(t["stems"] for t in load(out)["tracks"])
+    again = run(spark, s)  # stems in the output folder are no input
+    assert (again.total, again.successful, again.skipped) == (2, 0, 2)
+    flat = run(spark, Settings(f"file://{music}", str(tmp_path / "flat"), detector="placeholder", recursive=False))
+    assert flat.total == 1
+
+
+def test_folders_that_are_not_entered(spark, tmp_path):
+    wav(tmp_path / "music" / "sub" / "a.wav", sine(440, 3.5))
+    wav(tmp_path / "music" / "b.wav", sine(440, 3.5))
+    assert [r.path[len(str(tmp_path)) :] for r in listing.local_listing(spark, str(tmp_path / "music"), recursive=False).collect()] == ["/music/b.wav"]
+    assert listing.is_file(str(tmp_path / "music" / "b.wav")) and not listing.is_file(str(tmp_path / "music")) and not listing.is_file(str(tmp_path / "none"))
+
+
+def test_the_dry_run_lists_names(spark, tmp_path, capsys):
+    for name in ("b.wav", "a.mp3", "sub/c.FLAC"):
+        (tmp_path / "music" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "music" / name).write_bytes(b"")
+    run(spark, Settings(str(tmp_path / "music"), str(tmp_path / "out"), dry_run=True))
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[:5] == [f"{tmp_path}/music/ (2 files)", "  a.mp3", "  b.wav", f"{tmp_path}/music/sub/ (1 files)", "  c.FLAC"]
+
+
+def test_documents_hold_odd_numbers_and_characters(tmp_path):
+    assert documents._plain(Row(a=float("nan"), b=None, c=[float("inf"), 1.5])) == {"a": None, "c": [None, 1.5]}
+    assert documents._attributes([("Name", "a\x00b\x1f<\ufffe"), ("None", None)]) == ' Name="ab&lt;"'
+
+
+def proto(*fields):
+    """A protocol buffer message: (number, int | bytes | str) each."""
+
+    def varint(n):
+        out = b""
+        while True:
+            out += bytes([n & 127 | (n > 127) << 7])
+            if not (n := n >> 7):
+                return out
+
+    body = b""
+    for k, v in fields:
+        v = v.encode() if isinstance(v, str) else v
+        body += varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v
+    return body
+
+
+def model_file(path, shares, chunk):
+    """A model whose stems are shares of the mix: (1, 2, chunk) to (1, 4, 2, chunk)."""
+    value = lambda name, dims: proto((1, name), (2, proto((1, proto((1, 1), (2, proto(*((1, proto((1, d))) for d in dims))))))))
+    tensor = lambda name, kind, dims, raw: proto(*((1, d) for d in dims), (2, kind), (8, name), (9, raw))
+    nodes = [proto((1, "mix"), (1, "axis"), (2, "wide"), (4, "Unsqueeze")), proto((1, "wide"), (1, "shares"), (2, "stems"), (4, "Mul"))]
+    data = [tensor("axis", 7, [1], np.array([1], "<i8").tobytes()), tensor("shares", 1, [1, 4, 1, 1], np.array(shares, "<f4").tobytes())]
+    graph = proto(*((1, n) for n in nodes), (2, "g"), *((5, d) for d in data), (11, value("mix", [1, 2, chunk])), (12, value("stems", [1, 4, 2, chunk])))
+    path.write_bytes(proto((1, 8), (7, graph), (8, proto((1, ""), (2, 13)))))
+
+
+def test_a_models_stems_keep_their_names(tmp_path):
+    path = tmp_path / "model.onnx"
+    model_file(path, (0.4, 0.3, 0.2, 0.1), 1000)
+    mix = np.random.default_rng(1).normal(size=(2, 2500)).astype(np.float32)
+    how = stems.Chunking(1000, 100, 8000)
+    for order in (stems.STEMS, ("drums", "bass", "other", "vocals")):
+        got = dict(zip(stems.STEMS, stems.separate(mix, stems.OnnxModel(str(path), 1000, order), how), strict=True))
+        for name, share in zip(order, (0.4, 0.3, 0.2, 0.1), strict=True):
+            assert np.abs(got[name] - share * mix).max() < 1e-5
+    assert stems.STEMS == ("vocals", "drums", "bass", "other")
+    with pytest.raises(ValueError):
+        stems.OnnxModel(str(path), 1000, ("drums",))
+    with pytest.raises(StemUnavailable):
+        stems.OnnxModel(str(tmp_path / "none"))
+
+
+def test_a_model_is_fetched_once_and_verified(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "cache"))
+    monkeypatch.setenv("CADENZA_STEM_MODEL", "")
+    source = tmp_path / "source.onnx"
+    source.write_bytes(b"weights")
+    good, url = hashlib.sha256(b"weights").hexdigest(), source.as_uri()
+    assert not stems.is_cached()
+    with pytest.raises(StemUnavailable):
+        stems.ensure_model(url, "0" * 64)
+    assert not stems.is_cached() and not list((tmp_path / "cache" / "cadenza").glob("*.tmp"))
+    path = stems.ensure_model(url, good)
+    assert path == stems.model_path() == stems.find_model() and open(path, "rb").read() == b"weights"
+    source.unlink()
+    assert stems.ensure_model(url, good.upper()) == path  # not fetched again
+    open(path, "wb").write(b"damaged")
+    with pytest.raises(StemUnavailable):
+        stems.ensure_model(url, good)
+
+
+def test_separators_and_providers():
+    assert stems.providers(["CPUExecutionProvider", "CoreMLExecutionProvider"], "darwin") == ["CoreMLExecutionProvider", "CPUExecutionProvider"]
+    assert stems.providers(["CPUExecutionProvider", "CoreMLExecutionProvider"], "linux") == ["CPUExecutionProvider"]
+    stems.register("half", lambda: lambda mix: np.stack([mix / 2] * 4))
+    try:
+        assert stems.separator("half")(np.ones((2, 3))).shape == (4, 2, 3)
+    finally:
+        del stems.SEPARATORS["half"]
+    assert stems.shape(44100) == (2, 2049, len(stems.stft(np.zeros(44100)))) and stems.shape(10) == (2, 2049, 1)
+
+
+def test_detectors_can_be_added():
+    detect.register("flat", lambda x, rate, genre=None: detect.Tempo(100.0), lambda x, rate: detect.Key(3, True))
+    try:
+        tempo, key = detect.DETECTORS["flat"]
+        assert tempo(np.zeros(5), 10).value == 100.0 and key(np.zeros(5), 10).standard.endswith("m")
+    finally:
+        del detect.DETECTORS["flat"]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
