@@ -10,7 +10,7 @@ from pyspark.sql import Row
 from cadenza import cli, session
 from cadenza.errors import DecodeError, FileMissing, InferenceError, StemUnavailable, UnsupportedFormat
 from cadenza.operators import detect, stems
-from cadenza.plans.library import Settings, run
+from cadenza.plans.library import Settings, buffers_analysed, duplicate_ids, run
 from cadenza.sources import audio, documents, listing
 from cadenza.streaming.watch import watch
 
@@ -331,3 +331,13 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_paths_ids_and_levels_of_results(spark, tmp_path):
+    wav(tmp_path / "music" / "a.wav", sine(440, 3.5))
+    run(spark, Settings(str(tmp_path / "music"), str(tmp_path / "out"), detector="placeholder"))
+    assert [r.path for r in documents.read_paths(spark, str(tmp_path / "out" / documents.JSON_NAME)).collect()] == [str(tmp_path / "music" / "a.wav")]
+    ids = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("c", 2)], "path string, track_id int")
+    assert [tuple(r) for r in duplicate_ids(ids).collect()] == [(1, 2)]
+    buffers = spark.createDataFrame([(1, [0.5, -2.0, 0.25]), (2, [])], "id int, x array<double>")
+    assert sorted(map(tuple, buffers_analysed(buffers, "id", "x", 2).collect())) == [(1, 1.5, 16383), (2, 0.0, None)]
