@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm import textvec as tv
 from cadenza.llm.arrow import add_columns
+from cadenza.llm.learning import collected, labelled, learnt
 
 #: Labelled rows that are learnt from at most, chosen by a hash of their id.
 MAX_ROWS = 5000
@@ -70,8 +71,7 @@ def lines_of(b: tv.Block) -> Lines:
     size = np.maximum(end - start, 1)
     shares = []
     for table in _TABLES:
-        run = np.concatenate(([0], np.cumsum(table[b.data])))
-        shares.append((run[end] - run[start]) / size)
+        shares.append(tv.sums(table[b.data], start, end) / size)
     h = b.hashes()
     again = np.zeros(len(h), bool)
     for k in range(1, 5):
@@ -113,6 +113,14 @@ class Model:
     weights: np.ndarray
     trans: np.ndarray
 
+    def to_bytes(self) -> bytes:
+        return np.concatenate([self.trans.reshape(-1), self.weights]).astype("<f8").tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Model:
+        x = np.frombuffer(raw, "<f8")
+        return cls(x[4:], x[:4].reshape(2, 2))
+
     def passes(self, x: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward messages and the matrices of all lines."""
         w = np.append(self.weights, 0.0)  # index -1: no neighbour
@@ -189,12 +197,14 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 3, steps: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_rows: int = MAX_ROWS, parts: int = 5, part: int = 0) -> Model:
-    """Learn from at most `max_rows` labelled documents, none of them with crc32(id as text) mod `parts` equal to `part`."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % parts != part))
-    known = F.broadcast(known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows))  # bounded by max_rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r.id)
-    return train([r.text for r in rows], [r.y for r in rows])
+    """Learn in this process from at most `max_rows` labelled documents, none with crc32(id as text) mod `parts` equal to `part`."""
+    return train(*collected(labelled(docs, labels, id_col, text_col, label_col, max_rows, parts, part)))
+
+
+def fit_in_task(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_rows: int = MAX_ROWS, parts: int = 5, part: int = 0) -> Model:
+    """As `fit`, in one task of an executor: the driver gets the weights only."""
+    rows = labelled(docs, labels, id_col, text_col, label_col, max_rows, parts, part)
+    return Model.from_bytes(learnt(rows, lambda texts, y: train(texts, y).to_bytes()))
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
@@ -220,6 +230,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     learn from, every line's probability is the smoothed share of label 1.  Rows with equal ids are scored one by one;
     other columns are ignored.
     """
-    s = score(docs.select(id_col, text_col), fit(docs, labels, id_col, text_col, max_rows=max_rows), text_col, keep=[id_col])
+    s = score(docs.select(id_col, text_col), fit_in_task(docs, labels, id_col, text_col, max_rows=max_rows), text_col, keep=[id_col])
     held = F.crc32(F.col(id_col).cast("string")) % 5 == 0
     return s.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -26,12 +26,7 @@ STRENGTH = (1.0, 10_000.0)
 MEASURES = T.StructType([T.StructField(x, T.LongType()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-
-
-def _running(flags: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=out[1:])
-    return out
+_CHARACTER = tv.NONSPACE & ((np.arange(256) & 0xC0) != 0x80)
 
 
 def _repeats(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +44,9 @@ def _repeats(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def measure_block(b: tv.Block, window: int = 5) -> dict[str, np.ndarray]:
-    inside = tv.NONSPACE[b.data]
-    chars, symbols, filled = _running(inside & ((b.data & 0xC0) != 0x80)), _running(_SYMBOL[b.data]), _running(inside)
-    out = {"n_words": b.counts(), "word_chars": chars[b.doc_end] - chars[b.doc_start], "n_symbols": symbols[b.doc_end] - symbols[b.doc_start]}
+    out = {"n_words": b.counts(), "word_chars": tv.sums(_CHARACTER[b.data], b.doc_start, b.doc_end), "n_symbols": tv.sums(_SYMBOL[b.data], b.doc_start, b.doc_end)}
     start, end, owner = b.lines()
-    full = filled[end] > filled[start]
+    full = np.searchsorted(b.start, end) > np.searchsorted(b.start, start)
     start, end, owner = start[full], end[full], owner[full]
     _, later = _repeats(b.span_hashes(start, end, False), owner)
     out["n_dup_lines"] = np.bincount(owner[later], minlength=b.n)
@@ -107,14 +100,13 @@ def host_verdicts(measured: DataFrame, host_col: str, max_rate: float) -> DataFr
     return stored(per.select("host", "n_docs", *(f"{k}_rate" for k in names), kept.alias("host_kept")), "verdicts")
 
 
-def _judged(docs: DataFrame, text_col: str, host_col: str, max_rate: float, keep: list[str]) -> DataFrame:
-    narrow = measures(docs, text_col, keep=[host_col])
+def _judged(full: DataFrame, narrow: DataFrame, host_col: str, max_rate: float) -> DataFrame:
+    """`full` with base_failed and kept, judged by the hosts of `narrow`; both are measured."""
     verdicts = host_verdicts(narrow, host_col, max_rate).select(F.col("host").alias("_host"), "host_kept")
     if verdicts.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
     base = rules()
-    full = measures(docs, text_col, keep=keep).withColumn("base_failed", base["short"] | base["repeated"])
-    out = full.join(verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    out = full.withColumn("base_failed", base["short"] | base["repeated"]).join(verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop("_host", "host_kept")
 
 
@@ -124,15 +116,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no words and fails.  A null host is a host of its own.  Rows with equal ids are judged one
     by one; null ids come back.  Columns of docs other than these three are ignored.  An empty table gives an empty table.
     """
-    return _judged(docs.select(id_col, text_col, host_col), text_col, host_col, max_rate, [id_col, host_col]).drop(host_col)
+    rows = stored(measures(docs.select(id_col, text_col, host_col), text_col, keep=[id_col, host_col]), "measures")  # texts are read once
+    return _judged(rows, rows, host_col, max_rate).drop(host_col)
 
 
 def passing(docs: DataFrame, text_col: str = "text", host_col: str = "source", *, max_rate: float = 0.5) -> DataFrame:
-    """The rows of docs that pass, with docs' columns; measures replace no column of docs."""
+    """The rows of docs that pass, with docs' columns; measures replace no column of docs.
+
+    Texts are measured twice, for the hosts' verdicts and for their own, which costs less than to write them out between.
+    """
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text, host = (names[docs.columns.index(c)] for c in (text_col, host_col))
-    return _judged(plain, text, host, max_rate, names).where("kept").select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
+    return _judged(measures(plain, text, keep=names), measures(plain, text, keep=[host]), host, max_rate).where("kept").select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm import hostrules, minhash, mixing, vectordup
 from cadenza.llm.crf import quality
@@ -46,7 +47,7 @@ ORACLES["op9_hostrules"] = hostrules.ORACLE
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 ORACLES["op4_mixing"] = mixing.ORACLE
@@ -69,12 +70,12 @@ def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 @query
 def op8_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 @query

@@ -2,8 +2,9 @@
 
 Words are maximal runs of bytes outside space and \\t..\\r, with A-Z lower-cased on request.  A word's hash is a
 polynomial over its bytes modulo 2**64, obtained for all words of a block from one running sum, then mixed.  With 64
-bits, a hundred million distinct values collide with probability below one in a thousand, and no step below needs more
-than a few arrays of one block (`BLOCK_BYTES` of text, or one longer document).
+bits, a hundred million distinct values collide with probability below one in a thousand.  A hash doesn't depend on where
+its word lies, so a long document's words are hashed in parts of `BLOCK_BYTES`, and what is held of a block (`BLOCK_BYTES` of
+text, or one longer document) is a few bytes for each of its own, besides arrays of its words.
 """
 
 from __future__ import annotations
@@ -53,6 +54,26 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    up, down = _power_tables(n)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[fold][data] * up[:n], dtype=np.uint64, out=run[1:])
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set in each of the ranges, which ascend and don't overlap; no array as long as `flags` is made."""
+    out = np.zeros(len(start), np.int64)
+    full = np.flatnonzero(end > start)
+    if len(full):
+        edge = np.stack([start[full], end[full]], axis=1).reshape(-1)
+        out[full] = np.add.reduceat(flags, edge[:-1] if edge[-1] == len(flags) else edge, dtype=np.int64)[::2]
+    return out
+
+
 class Block(NamedTuple):
     """Consecutive documents: rows `first`..`first + n` of the batch, the block's bytes, and its words."""
 
@@ -69,14 +90,16 @@ class Block(NamedTuple):
         return self.span_hashes(self.start, self.end, fold)
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-        """Hashes of any byte ranges of the block."""
-        n = len(self.data)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        up, down = _power_tables(n)
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[fold][self.data] * up[:n], dtype=np.uint64, out=run[1:])
-        return mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
+        """Hashes of any byte ranges of the block; of a long one in parts, if they ascend."""
+        if len(self.data) <= 2 * BLOCK_BYTES or (start[1:] < start[:-1]).any() or (end[1:] < end[:-1]).any():
+            return _span_hashes(self.data, start, end, fold)
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            lo = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, lo + BLOCK_BYTES, "right")))
+            out[i:j] = _span_hashes(self.data[lo : int(end[j - 1])], start[i:j] - lo, end[i:j] - lo, fold)
+            i = j
+        return out
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of every \n-split line; an empty document has one empty line."""

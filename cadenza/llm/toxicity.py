@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm import textvec as tv
 from cadenza.llm.arrow import add_columns
+from cadenza.llm.learning import collected, labelled, learnt
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -88,6 +89,13 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def to_bytes(self) -> bytes:
+        return np.float64(self.bias).tobytes() + self.weights.astype("<f4").tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Model:
+        return cls(np.frombuffer(raw, "<f4", -1, 8), float(np.frombuffer(raw, "<f8", 1)[0]))
+
     def words(self, block: tv.Block) -> np.ndarray:
         """Every word's mean weight."""
         h = block.hashes()
@@ -203,12 +211,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1, warm: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = MAX_ROWS, parts: int = 5, part: int = 0) -> Model:
-    """Learn from at most `max_rows` labelled documents, none of them with crc32(id as text) mod `parts` equal to `part`."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % parts != part))
-    known = F.broadcast(known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows))  # bounded by max_rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r.id)
-    return train([r.text for r in rows], [r.y for r in rows])
+    """Learn in this process from at most `max_rows` labelled documents, none with crc32(id as text) mod `parts` equal to `part`."""
+    return train(*collected(labelled(docs, labels, id_col, text_col, label_col, max_rows, parts, part)))
+
+
+def fit_in_task(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_rows: int = MAX_ROWS, parts: int = 5, part: int = 0) -> Model:
+    """As `fit`, in one task of an executor: the driver gets the weights only."""
+    rows = labelled(docs, labels, id_col, text_col, label_col, max_rows, parts, part)
+    return Model.from_bytes(learnt(rows, lambda texts, y: train(texts, y).to_bytes()))
 
 
 SCORE = T.StructType([T.StructField("score", T.DoubleType())])
@@ -233,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels are learnt from rows whose crc32(id as text) mod 5 isn't 0.  A null id is held out null.  Without both labels to learn from,
     every score is the share of label 1, smoothed toward a third.  Rows with equal ids are scored one by one; other columns are ignored.
     """
-    s = score(docs.select(id_col, text_col), fit(docs, labels, id_col, text_col, max_rows=max_rows), text_col, keep=[id_col])
+    s = score(docs.select(id_col, text_col), fit_in_task(docs, labels, id_col, text_col, max_rows=max_rows), text_col, keep=[id_col])
     held = F.crc32(F.col(id_col).cast("string")) % 5 == 0
     return s.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -1,12 +1,14 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from cadenza.llm import crf, toxicity
+from cadenza.llm import crf, learning, toxicity
 from cadenza.llm import textvec as tv
+from cadenza.llm.queries import QUERIES
 
 from oracle import SMALL
 
@@ -137,3 +139,79 @@ def test_toxicity_learns_from_6000_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, y: sizes.append((len(texts), len(y))))
     toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 as toxic"))
     assert sizes == [(6000, 6000)]
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def bucket(gram):
+    return int(next(blocks([gram])).hashes()[0] % np.uint64(toxicity.BUCKETS))
+
+
+def test_toxicity_scores_by_brute_force():
+    """The highest mean of three words in a row, a word being the mean weight of its grams."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.7)
+    texts = ["", " \n", "Idiot", "you Stupid thing", "é añb ab x the end of it", "one two " * 9, "A" * 30 + " b"]
+
+    def word(w):
+        w = "<" + "".join(c.lower() if "A" <= c <= "Z" else c for c in w) + ">"
+        return np.mean([float(model.weights[bucket(g)]) for g in [w] + [w[j : j + k] for k in (3, 4, 5) for j in range(len(w) - k + 1)]])
+
+    for text, score in zip(texts, scores(model, texts), strict=True):
+        v = [word(w) for w in WORD.findall(text)]
+        best = max((np.mean(v[i : i + 3]) for i in range(max(1, len(v) - 2))), default=0.0) if v else 0.0
+        assert abs(score - 1 / (1 + np.exp(-(best - 0.7)))) < 1e-6
+
+
+def test_quality_scores_by_brute_force():
+    """The mean of the lines' marginals, by enumeration, weighted by the lines' bytes."""
+    rng = np.random.default_rng(3)
+    model = crf.Model(rng.normal(size=crf.FEATURES), rng.normal(size=(2, 2)))
+    texts = ["a b\nc!! d!!\n| x |\n\nlast 12", "single line", "x\ny\nx x x\n", "é\n" * 6, "", "\n \n"]
+    for text, score in zip(texts, scores(model, texts), strict=True):
+        x = crf.lines_of(next(blocks([text])))
+        w = np.append(model.weights, 0)
+        e, n = w[x.active].sum(axis=1) / 2, len(x.owner)
+        total, good = 0.0, np.zeros(n)
+        for m in range(1 << n):
+            y = [(m >> k) & 1 for k in range(n)]
+            p = np.exp(sum(e[k] * (1 if y[k] else -1) for k in range(n)) + sum(model.trans[a, c] for a, c in zip(y[:-1], y[1:], strict=True)))
+            total, good = total + p, good + p * np.array(y)
+        size = [max(1, len(t.encode())) for t in text.split("\n") if WORD.search(t)] or [1]
+        assert abs(score - np.dot(good / total, size) / sum(size)) < 1e-9
+
+
+def test_learning_in_a_task(spark):
+    """The same model as in this process, from the same rows; of repeated ids and labels, the smallest counts."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "text", "idiot", "fool"][: 3 + 2 * (i % 2)], 8))) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(7, "zzz"), (8, None), (None, "x")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(300)] + [(9, 0, 0), (9, 1, 1), (None, 1, 1), (10, 5, None)], "doc_id long, toxic int, quality int")
+    for module, label in ((toxicity, "toxic"), (crf, "quality")):
+        a, b = module.fit(docs, labels), module.fit_in_task(docs, labels)
+        assert all(np.array_equal(getattr(a, x), getattr(b, x)) for x in vars(a))
+    got = {r.id: (r.text, r.y) for r in learning.labelled(docs, labels, "doc_id", "text", "toxic", 10**6, 5, 0).collect()}
+    want = {i: (t, 0 if i == 9 else i % 2) for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    assert got == want
+
+
+def test_a_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    rows = learning.labelled(docs, docs.selectExpr("doc_id", "doc_id % 2 as toxic"), "doc_id", "text", "toxic", toxicity.MAX_ROWS, 5, 0)
+    count = lambda texts, y: f"{len(texts)} {len(y)} {len(set(texts))}".encode()
+    assert learning.learnt(rows, count) == b"6000 6000 6000"
+    some = learning.learnt(rows, lambda texts, y: str(sum(map(len, texts))).encode(), max_bytes=1000)
+    assert 990 <= int(some) <= 1000 and some == learning.learnt(rows, lambda texts, y: str(sum(map(len, texts))).encode(), max_bytes=1000)
+    assert learning.learnt(rows.limit(0), count) == b"0 0 0"
+
+
+def test_queries_hold_out_no_null(spark, tmp_path):
+    read = spark.read.parquet(f"{SMALL}/documents.parquet")
+    read.limit(50).unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op7_toxicity", "op8_crf"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+        got = df.collect()
+        assert len(got) == 51 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
