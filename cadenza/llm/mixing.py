@@ -15,8 +15,6 @@ from cadenza.llm.ranking import running_index
 from cadenza.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Units up to this number (about 30 bytes each) are broadcast to take copies of texts; more are joined by a shuffle.
-BROADCAST_UNITS = 500_000
 
 
 def targets(sizes: DataFrame, ratio: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -58,8 +56,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     u = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target", rate.alias("rate"), u.alias("u"))
-    if goal.count() <= BROADCAST_UNITS:
-        goal = F.broadcast(goal)
     placed = running_index(unit, ["source"], [F.col("size"), F.col("id").asc_nulls_first()], "i").join(goal, F.col("source").eqNullSafe(F.col("_s")))
     crossed = lambda i: F.floor(F.col("rate") * i + F.col("u"))
     out = placed.withColumn("copies", (crossed(F.col("i")) - crossed(F.col("i") - 1)).cast("long"))
@@ -73,7 +69,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     names = [f"_{i}" for i in range(len(docs.columns))]
     d = docs.toDF(*names)
     key, source = (F.col(names[docs.columns.index(c)]) for c in (id_col, source_col))
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_UNITS else plan
+    # a row a document on either side: joined by a shuffle at every size, of which adaptive execution splits what is skewed
+    plan = plan.hint("merge")
     d = d.join(plan, key.eqNullSafe(F.col("_id")) & source.eqNullSafe(F.col("_source")))
     return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
 

@@ -5,10 +5,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from cadenza.llm import mixing, toxicity
+from cadenza.llm import hostrules, minhash, mixing, toxicity
 from cadenza.llm import textvec as tv
 from cadenza.llm.tokens import tokenizer_path
 from cadenza.session import read
@@ -81,3 +82,27 @@ def test_stages_on_odd_rows(spark):
     for _, stage in cp.STAGES:
         now = stage(spark, now, SMALL)
     assert now.collect() == []
+
+
+def test_joins_by_shuffle(spark, monkeypatch):
+    """The stages that broadcast what is small give the same rows when nothing is small enough."""
+    docs = read(spark, SMALL, "documents")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = lambda df: Counter((r.doc_id, r.source, r.text) for r in df.collect())
+    small = [rows(stage(spark, docs, SMALL)) for _, stage in (cp.STAGES[0], cp.STAGES[2], cp.STAGES[3])]
+    monkeypatch.setattr(hostrules, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(cp, "BROADCAST_IDS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [rows(stage(spark, docs, SMALL)) for _, stage in (cp.STAGES[0], cp.STAGES[2], cp.STAGES[3])] == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_one_id_leave_one(spark):
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(3, words, 1), (3, "another text of the same id that is long enough", 2), (4, words + " x", 3), (9, "a text of its own that is like none of the others", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, cp.near_dedup_stage(spark, df, SMALL).collect())) == [rows[1], rows[3]]
