@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cadenza.session import ship
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which the worker gives memory that it has freed back to the system: workers outlive their tasks."""
+
+    def all_of(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return all_of
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: T.StructType, function: Callable[..., Callable[[list[pa.Array]], list[pa.Array]]], *args, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of df (by default all), then `fields`, computed by function(*args) from the inputs' arrays.
 
@@ -32,4 +47,4 @@ def add_columns(df: DataFrame, inputs: list[str], fields: T.StructType, function
             made = [x.cast(types.field(i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + made, names=[f.name for f in out])
 
-    return plain.mapInArrow(run, out).toDF(*kept, *fields.names)
+    return plain.mapInArrow(trimmed(run), out).toDF(*kept, *fields.names)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import textvec as tv
+from cadenza.llm.arrow import trimmed
 from cadenza.llm.components import components
 from cadenza.llm.files import Mapped, arrays, put
 from cadenza.session import drop, scratch, ship, stored
@@ -346,7 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(d.mapInArrow(_sign(shingle, bands, rows, seed), SIGNED_DDL).withColumn("tag", F.monotonically_increasing_id()), "signed")
+    signed = stored(d.mapInArrow(trimmed(_sign(shingle, bands, rows, seed)), SIGNED_DDL).withColumn("tag", F.monotonically_increasing_id()), "signed")
     same = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "tag"))).alias("first"), F.count("*").alias("c"))
     same = stored(same.where("c > 1").select("n", "d1", "d2", F.col("first.id").alias("rep"), F.col("first.tag").alias("first")), "same")
     chosen = F.expr("n > 0 and id is not null") & F.coalesce(F.col("tag") == F.col("first"), F.lit(True))
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ids = stored(buckets.select("id").distinct(), "candidates")
     listed = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = d.join(listed, "id", "left_semi").mapInArrow(_sets(shingle), "id long, d1 long, blob binary")
+    sets = d.join(listed, "id", "left_semi").mapInArrow(trimmed(_sets(shingle)), "id long, d1 long, blob binary")
     sets = stored(sets.dropDuplicates(["id", "d1"]), "sets")
     num, den = threshold.numerator, threshold.denominator
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.arrow import trimmed
 from cadenza.llm.ranking import running_index
 from cadenza.llm.tokens import END_ID, TOKENIZER, crc, encoder, tokenizer_path
 from cadenza.session import ship, stored
@@ -94,7 +95,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # written first: dealing rows out by ranges reads them twice
-    pieces = stored(d.mapInArrow(_pieces(tokenizer or tokenizer_path(TOKENIZER), end_id, capacity, tail, with_ids), schema), "cut")
+    pieces = stored(d.mapInArrow(trimmed(_pieces(tokenizer or tokenizer_path(TOKENIZER), end_id, capacity, tail, with_ids)), schema), "cut")
     order = [F.col("id").asc_nulls_first(), F.col("start"), F.col("ids_crc32")]
     pieces = stored(running_index(pieces, ["length"], order, "i").withColumn("i", F.col("i") - 1), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity's log2 + tail lengths at most
