@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Texts are long: ten thousand rows a batch take too much of a worker, and of the JVM beside it.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 _made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python, once per application."""
+    """Make this package importable in the executors' Python, once per application, and bound what a worker gets at a time."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64MB", "67108864b"):  # Spark's default; a session's own stays
+        spark.conf.set(BATCH_BYTES, "8m")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -48,15 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 @atexit.register
 def _clean() -> None:
+    """Delete what this process has made in the shared folder, on whatever store; what can't be deleted stays."""
     for d in _made:
-        shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
+        if d.startswith("file:"):
+            shutil.rmtree("/" + d.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        else:
+            with contextlib.suppress(Exception):
+                store, path = fs.FileSystem.from_uri(d)
+                store.delete_dir(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/cadenza/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        _made.append(path)
+    _made.append(path)
     return path
 
 
