@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import hostrules, mixing, packing, toxicity
 from cadenza.llm.minhash import BROADCAST_IDS, near_duplicates
-from cadenza.session import read, stored
+from cadenza.session import drop, read, stored
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,18 +17,23 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: a document stays whose most toxic window scores below 0.5; learnt from the labelled ones among docs."""
-    return toxicity.acceptable(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return toxicity.acceptable(docs, toxicity.fit_in_task(docs, read(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest id of each group stays, once; rows without an id stay."""
-    kept = stored(near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    size = kept.agg(F.count("*").alias("ids"), F.max("n").alias("most")).first()
-    ids = kept.select(F.col("doc_id").alias("_kept_id"))
-    ids = F.broadcast(ids) if size.ids <= BROADCAST_IDS else ids
-    named = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    if (size.most or 1) > 1:
-        named = named.dropDuplicates(["doc_id"])
+    """MinHash near-dedup: the document with the smallest id of each group stays, once; rows without an id stay.
+
+    Rows of one id are one document: of several that stay, the one with the smallest text (null first) does.
+    """
+    verdicts = stored(near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"), "verdicts")
+    gone = stored(verdicts.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    twice = stored(verdicts.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "twice")
+    if not twice.isEmpty():
+        same = F.col("doc_id") == F.col("_id")
+        one = named.join(twice, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+        named = named.join(twice, same, "left_anti").unionByName(one.select("row.*"))
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -57,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        made = stored(stage(spark, docs, sf_dir), name)
+        drop(docs)  # what an earlier stage has written; nothing that is read from sf_dir
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
