@@ -146,16 +146,20 @@ class EliasFano:
         lo, hi = self._among(h)
         if begin is not None:
             lo, hi = np.maximum(lo, begin[ok]), np.minimum(hi, end[ok])
-        want = y & self.mask
         live = np.flatnonzero(lo < hi)
-        bound = hi.copy()
+        lo, hi, want = lo[live], hi[live], (y & self.mask)[live]
+        live = ok[live]
+        wide = np.flatnonzero(hi - lo > 8)
+        while len(wide):  # halve long ranges; short ones are read through
+            mid = (lo[wide] + hi[wide]) >> 1
+            less = self._low(mid) < want[wide]
+            lo[wide] = np.where(less, mid + 1, lo[wide])
+            hi[wide] = np.where(less, hi[wide], mid + 1)
+            wide = wide[hi[wide] - lo[wide] > 8]
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._low(mid) < want[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        there = np.flatnonzero(lo < bound)
-        there = there[self._low(lo[there]) == want[there]]
-        out[ok[there]] = lo[there]
+            value = self._low(lo)
+            hit = value == want
+            out[live[hit]] = lo[hit]
+            more = np.flatnonzero((value < want) & (lo + 1 < hi))
+            live, lo, hi, want = live[more], lo[more] + 1, hi[more], want[more]
         return out

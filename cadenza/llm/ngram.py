@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import eliasfano as ef
 from cadenza.llm import textvec as tv
+from cadenza.llm.arrow import trimmed
 from cadenza.llm.files import arrays, mapped, put
 from cadenza.session import scratch, ship, stored
 
@@ -43,6 +44,8 @@ SHARD_TOKENS = 4_000_000
 FLUSH = 3_000_000
 #: Bytes of text that a lookup takes together.
 BLOCK_BYTES = 3 << 20
+#: Tokens that are looked up together at most; longer texts are taken in parts.
+PART = 1 << 19
 _STEP = 16.0 / 65535
 _U = np.uint64
 
@@ -115,11 +118,14 @@ def find_words(t: Trie, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts_of(t: Trie, ids: np.ndarray) -> np.ndarray:
-    """Counts of ascending ids."""
+    """Counts of ids in any order."""
     level = t.levels[0]
     out = np.empty(len(ids), np.int64)
-    for k, a, b in _runs(np.searchsorted(level.base, ids, "right") - 1):
-        out[a:b] = mapped(level.paths[k]).counts[ids[a:b] - level.base[k]]
+    shard = np.searchsorted(level.base, ids, "right") - 1
+    order = np.argsort(shard.astype(np.uint16) if len(level.paths) <= 1 << 16 else shard, kind="stable")
+    for k, a, b in _runs(shard[order]):
+        m = order[a:b]
+        out[m] = mapped(level.paths[k]).counts[ids[m] - level.base[k]]
     return out
 
 
@@ -184,16 +190,29 @@ class Walk:
 
 
 def walk(t: Trie, block: tv.Block) -> Walk:
+    """All of a block at once."""
     h, bounds = _streams(block)
+    return _walk(t, h, bounds, np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds)))
+
+
+def walks(t: Trie, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, Walk]]:
+    """(begin, skip, walk) of parts of at most `PART` tokens; of a walk's tokens the first `skip` belong to the part before."""
+    number = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))  # a token's place in its document
+    for begin in range(0, len(h), PART):
+        lo = max(0, begin - t.order)
+        end = min(len(h), begin + PART)
+        yield begin, begin - lo, _walk(t, h[lo:end], bounds, number[lo:end])
+
+
+def _walk(t: Trie, h: np.ndarray, bounds: np.ndarray, first: np.ndarray) -> Walk:
     u, inverse = np.unique(h, return_inverse=True)
     ids, counts = (x[inverse] for x in find_words(t, u))
     logs = word_logs(t, counts)
-    first = np.zeros(len(h), np.int64)  # a token's number in its document
-    first[:] = np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))
     end_id = int(find_words(t, np.array([END]))[0][0])
     places, weights = ids, np.log10(t.prior[0] / (np.maximum(counts, 0) + t.prior[0])) if t.prior else np.zeros(len(h))
     for n in range(2, t.order + 1):
         context, weight = np.empty_like(places), np.empty(len(h))
+        context[:1], weight[:1] = -1, 0.0
         context[1:], weight[1:] = places[:-1], weights[:-1]
         start = first == 0
         if n == 2:
@@ -215,86 +234,89 @@ def walk(t: Trie, block: tv.Block) -> Walk:
 
 
 class _Counter:
-    """Counts of keys (or of pairs of them) of one task, combined when they grow."""
+    """Counts of keys, of `keys` columns, in one task, combined when they grow; further columns follow from the key."""
 
-    def __init__(self, pair: bool = False):
-        self.pair, self.raw, self.held, self.size = pair, [], None, 0
+    def __init__(self, keys: int = 1):
+        self.keys, self.raw, self.held, self.size = keys, [], None, 0
 
-    def add(self, *keys: np.ndarray) -> None:
-        self.raw.append(keys)
-        self.size += len(keys[0])
+    def add(self, *cols: np.ndarray) -> None:
+        self.raw.append(cols)
+        self.size += len(cols[0])
 
     def fold(self) -> None:
         """Combine what was added; `size` is then the number of distinct keys."""
         cols = [np.concatenate(x) for x in zip(*self.raw, strict=True)] if self.raw else []
         self.raw = []
+        if len(cols) == 1:
+            x = np.sort(cols[0])
+            at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+            cols = [x[at], np.diff(np.append(at, len(x)))]
+        elif cols:
+            cols = combine([*cols, np.ones(len(cols[0]), np.int64)], self.keys)
         if cols:
-            if self.pair:
-                cols = combine([*cols, np.ones(len(cols[0]), np.int64)])
-            else:
-                x = np.sort(cols[0])
-                at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
-                cols = (x[at], np.diff(np.append(at, len(x))))
-            self.held = cols if self.held is None else combine([np.concatenate(x) for x in zip(self.held, cols, strict=True)])
+            self.held = cols if self.held is None else combine([np.concatenate(x) for x in zip(self.held, cols, strict=True)], self.keys)
         self.size = len(self.held[0]) if self.held is not None else 0
 
-    def take(self) -> tuple[np.ndarray, ...]:
+    def take(self) -> list[np.ndarray] | None:
         self.fold()
         out, self.held, self.size = self.held, None, 0
-        return tuple(np.zeros(0, _U) for _ in range(2 + self.pair)) if out is None else tuple(out)
+        return out
 
 
-def combine(cols: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Sum the last column by the ones before it, ascending."""
-    order = np.argsort(cols[0]) if len(cols) == 2 else np.lexsort((cols[1], cols[0]))
-    keys = [c[order] for c in cols[:-1]]
+def combine(cols: list[np.ndarray], keys: int) -> list[np.ndarray]:
+    """Sum the last column by the first `keys`, ascending; those between are equal where these are."""
+    order = np.argsort(cols[0]) if keys == 1 else np.lexsort((cols[1], cols[0]))
+    by = [c[order] for c in cols[:keys]]
     new = np.ones(len(order), bool)
     if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        new[1:] = np.any([k[1:] != k[:-1] for k in by], axis=0)
     at = np.flatnonzero(new)
-    return (*(k[at] for k in keys), np.add.reduceat(cols[-1][order], at) if len(at) else cols[-1][:0])
+    return [*(k[at] for k in by), *(c[order[at]] for c in cols[keys:-1]), np.add.reduceat(cols[-1][order], at) if len(at) else cols[-1][:0]]
 
 
-def _squeeze(cols: tuple[np.ndarray, ...]) -> bytes:
-    """Ascending columns as differences, byte by byte apart, compressed."""
+def _squeeze(cols: list[np.ndarray], keys: int) -> bytes:
+    """Columns, ascending keys as differences, byte by byte apart, compressed."""
     parts = []
     for i, c in enumerate(cols):
         c = c.astype(np.int64)
-        d = c if i == len(cols) - 1 else np.diff(c, prepend=np.int64(0))
+        d = np.diff(c, prepend=np.int64(0)) if i < keys else c
         parts.append(d.view(np.uint8).reshape(-1, 8).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join([len(cols[0]).to_bytes(8, "little"), *parts]))
 
 
-def _unsqueeze(blob: bytes, columns: int) -> list[np.ndarray]:
+def _unsqueeze(blob: bytes, columns: int, keys: int) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, out = int.from_bytes(raw[:8], "little"), []
     for i in range(columns):
         d = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 8 * n * i).reshape(8, n).T).view(np.int64).reshape(-1)
-        out.append(d if i == columns - 1 else np.cumsum(d))
+        out.append(np.cumsum(d) if i < keys else d)
     return out
 
 
-def _emit(cols: tuple[np.ndarray, ...], shard: np.ndarray, shards: int):
+def _emit(cols: list[np.ndarray], keys: int, shard: np.ndarray, shards: int):
     order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")  # so keys stay ascending
     for k, a, b in _runs(shard[order]):
         m = order[a:b]
         if len(m):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_squeeze(tuple(c[m] for c in cols))], pa.binary())], names=["shard", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_squeeze([c[m] for c in cols], keys)], pa.binary())], names=["shard", "blob"])
 
 
 def _count_words(shards: int):
     def run(batches):
         c = _Counter()
+
+        def out():
+            if cols := c.take():
+                yield from _emit([cols[0].view(np.int64), cols[1]], 1, _word_shard(cols[0], shards), shards)
+
         for batch in batches:
             for block in tv.blocks(batch.column(0), BLOCK_BYTES):
                 c.add(_streams(block)[0])
                 if c.size > FLUSH:
                     c.fold()
                     if c.size > FLUSH // 2:
-                        h, n = c.take()
-                        yield from _emit((h.view(np.int64), n), _word_shard(h, shards), shards)
-        h, n = c.take()
-        yield from _emit((h.view(np.int64), n), _word_shard(h, shards), shards)
+                        yield from out()
+        yield from out()
 
     return run
 
@@ -302,8 +324,8 @@ def _count_words(shards: int):
 def _write_words(folder: str):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("shard")[0].as_py()
-        cols = [_unsqueeze(b.as_py(), 2) for b in table.column("blob")]
-        h, n = combine([np.concatenate([c[0] for c in cols]).view(_U), np.concatenate([c[1] for c in cols])])
+        cols = [_unsqueeze(b.as_py(), 2, 1) for b in table.column("blob")]
+        h, n = combine([np.concatenate([c[0] for c in cols]).view(_U), np.concatenate([c[1] for c in cols])], 1)
         parts, meta = ef.encode(h)
         kind = np.uint32 if n.max() < 1 << 32 else np.uint64
         path = put(folder, f"words-{k:06d}.bin", arrays(parts | {"counts": n.astype(kind)}, meta))
@@ -318,32 +340,35 @@ def _packed(t: Trie, n: int) -> bool:
 
 
 def _count_grams(t: Trie, n: int, shards: int):
+    """Counts of n-grams; from n = 3 up with the quantised probability of the order below, which the walk has found anyway."""
+
     def run(batches):
         packed = _packed(t, n)
-        c = _Counter(not packed)
+        c = _Counter(1 if packed else 2)
 
         def out():
-            cols = c.take()
-            key = cols[0] // _U(t.words), cols[0] % _U(t.words)
-            a, b = (x.astype(np.int64) for x in (key if packed else cols[:2]))
-            yield from _emit((*((cols[0].view(np.int64),) if packed else (a, b)), cols[-1]), _gram_shard(a, b, shards), shards)
+            if cols := c.take():
+                a, b = (x.astype(np.int64) for x in ((cols[0] // _U(t.words), cols[0] % _U(t.words)) if packed else cols[:2]))
+                yield from _emit([cols[0].view(np.int64), *cols[1:]], c.keys, _gram_shard(a, b, shards), shards)
 
         end_id = int(find_words(t, np.array([END]))[0][0])
         for batch in batches:
             for block in tv.blocks(batch.column(0), BLOCK_BYTES):
-                w = walk(t, block)
-                context = np.empty_like(w.places)
-                context[1:] = w.places[:-1]
-                context[w.bounds[:-1]] = end_id if n == 2 else -1
-                ok = context >= 0
-                if packed:
-                    c.add(context[ok].astype(_U) * _U(t.words) + w.ids[ok].astype(_U))
-                else:
-                    c.add(context[ok], w.ids[ok])
-                if c.size > FLUSH:
-                    c.fold()
-                    if c.size > FLUSH // 2:
-                        yield from out()
+                h, bounds = _streams(block)
+                new = np.zeros(len(h), bool)
+                new[bounds[:-1]] = True
+                for begin, skip, w in walks(t, h, bounds):
+                    context = np.full_like(w.places, -1)
+                    context[1:] = w.places[:-1]
+                    context[new[begin - skip : begin - skip + len(context)]] = end_id if n == 2 else -1
+                    context[:skip] = -1
+                    ok = context >= 0
+                    key = (context[ok].astype(_U) * _U(t.words) + w.ids[ok].astype(_U),) if packed else (context[ok], w.ids[ok])
+                    c.add(*key, *((_quantise(w.logs[ok]),) if n > 2 else ()))
+                    if c.size > FLUSH:
+                        c.fold()
+                        if c.size > FLUSH // 2:
+                            yield from out()
         yield from out()
 
     return run
@@ -352,23 +377,29 @@ def _count_grams(t: Trie, n: int, shards: int):
 def _write_grams(t: Trie, n: int, folder: str, last: bool, least: int):
     def run(table: pa.Table) -> pa.Table:
         k = table.column("shard")[0].as_py()
-        width = 2 if _packed(t, n) else 3
-        cols = [_unsqueeze(b.as_py(), width) for b in table.column("blob")]
-        cols = combine([np.concatenate([c[i] for c in cols]) for i in range(width)])
-        if width == 2:
+        keys = 1 if _packed(t, n) else 2
+        width = keys + 1 + (n > 2)
+        cols = [_unsqueeze(b.as_py(), width, keys) for b in table.column("blob")]
+        cols = combine([np.concatenate([c[i] for c in cols]) for i in range(width)], keys)
+        count, below = cols[-1], cols[keys] if n > 2 else None
+        if keys == 1:
             context = (cols[0].view(_U) // _U(t.words)).astype(np.int64)
-            word, count = (cols[0].view(_U) % _U(t.words)).astype(np.int64), cols[1]
+            word = (cols[0].view(_U) % _U(t.words)).astype(np.int64)
         else:
-            context, word, count = cols
+            context, word = cols[:2]
         del cols
         if least > 1:
-            context, word, count = (x[count >= least] for x in (context, word, count))
+            some = count >= least
+            context, word, count, below = context[some], word[some], count[some], below[some]
         new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         held, number = context[begin], np.cumsum(new) - 1
         m = t.prior[n - 2]
-        below, total = _below(t, n, context, word)
-        prob = np.log10((count + m * 10.0**below) / (total + m))
+        if n == 2:
+            total, low = counts_of(t, held), 10.0 ** word_logs(t, counts_of(t, word))
+        else:
+            total, low = _totals(t, held), 10.0 ** _value(below)
+        prob = np.log10((count + m * low) / (total[number] + m))
         parts, meta = ef.encode(number.astype(_U) * _U(t.words) + word.astype(_U))
         for name, x in (("contexts_", held), ("pointers_", np.append(begin, len(context)))):
             p, q = ef.encode(x, name)
@@ -383,26 +414,12 @@ def _write_grams(t: Trie, n: int, folder: str, last: bool, least: int):
     return run
 
 
-def _below(t: Trie, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(word | context without its first word), and the context's count; contexts ascend."""
-    u, inverse = np.unique(word, return_inverse=True)
-    one = word_logs(t, counts_of(t, u))[inverse]
-    new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
-    u, inverse = context[new], np.cumsum(new) - 1
-    if n == 2:
-        return one, counts_of(t, u)[inverse]
-    # n == 3: the context is a place in level 2, which gives its last word and its weight, from which its count follows
-    level = t.levels[1]
-    middle, weight = np.empty(len(u), np.int64), np.empty(len(u))
-    for k, a, b in _runs(np.searchsorted(level.base, u, "right") - 1):
-        f, at = mapped(level.paths[k]), u[a:b] - level.base[k]
-        middle[a:b] = (_codec(f).access(at) % _U(t.words)).astype(np.int64)
-        weight[a:b] = _value(f.weight[at])
-    total = t.prior[1] * (10.0**-weight - 1)
-    v, back = np.unique(middle, return_inverse=True)
-    known = counts_of(t, v)[back]
-    place, prob, _ = find_grams(t, 2, middle[inverse], word)
-    return np.where(place >= 0, _value(prob), np.log10(t.prior[0] / (known + t.prior[0]))[inverse] + one), total[inverse]
+def _totals(t: Trie, places: np.ndarray) -> np.ndarray:
+    """Counts of ascending places of level 2 as contexts, which their weights give."""
+    level, weight = t.levels[1], np.empty(len(places))
+    for k, a, b in _runs(np.searchsorted(level.base, places, "right") - 1):
+        weight[a:b] = _value(mapped(level.paths[k]).weight[places[a:b] - level.base[k]])
+    return t.prior[1] * (10.0**-weight - 1)
 
 
 def build(texts: DataFrame, text_col: str = "text", *, order: int = ORDER, prior: tuple[float, ...] = PRIOR, least: int = LEAST, shard_tokens: int = SHARD_TOKENS) -> Trie:
@@ -423,7 +440,7 @@ def build(texts: DataFrame, text_col: str = "text", *, order: int = ORDER, prior
         return Level([r.path for r in made], np.concatenate(([0], np.cumsum([r.n for r in made]))).astype(np.int64)), made
 
     shards = max(1, tasks // 4)
-    rows = d.mapInArrow(_count_words(shards), "shard int, blob binary")
+    rows = d.mapInArrow(trimmed(_count_words(shards)), "shard int, blob binary")
     first, made = level(rows, _write_words(folder), "shard int, path string, n long, tokens long, ones long, twos long")
     if len(made) not in (0, shards):  # an empty shard has no file: its neighbour's range is its own
         paths = {r.shard: r for r in made}
@@ -434,7 +451,7 @@ def build(texts: DataFrame, text_col: str = "text", *, order: int = ORDER, prior
     t = Trie(tokens, first.n, discount, prior[: order - 1], [first] if made else [])
     for n in range(2, (order if made else 0) + 1):
         shards = max(1, -(-tokens // shard_tokens))
-        rows = d.mapInArrow(_count_grams(t, n, shards), "shard int, blob binary")
+        rows = d.mapInArrow(trimmed(_count_grams(t, n, shards)), "shard int, blob binary")
         new, made = level(rows, _write_grams(t, n, folder, n == order, least if n > 2 else 1), "shard int, path string, n long")
         if len(made) != shards:
             paths = {r.shard: r for r in made}
@@ -451,15 +468,13 @@ def _score(t: Trie):
         for batch in batches:
             parts = []
             for block in tv.blocks(batch.column(1), BLOCK_BYTES):
-                if t.levels:
-                    w = walk(t, block)
-                    at, known, logs = w.bounds[:-1], w.counts > 0, w.logs
-                    base = np.log10((w.counts + 1) / (t.tokens + 1 * (t.words + 1)))
-                    bounds = w.bounds
-                else:  # nothing was learnt: one unknown word has all probability
-                    h, bounds = _streams(block)
-                    at, known, logs, base = bounds[:-1], np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h))
-                parts.append((np.diff(bounds), *(np.add.reduceat(x.astype(y), at) for x, y in ((known, np.int64), (base, float), (logs, float)))))
+                h, bounds = _streams(block)
+                known, logs, base = np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h))
+                for begin, skip, w in walks(t, h, bounds) if t.levels else ():  # if nothing was learnt, one unknown word has all probability
+                    part = slice(begin, begin + len(w.ids) - skip)
+                    known[part], logs[part] = w.counts[skip:] > 0, w.logs[skip:]
+                    base[part] = np.log10((w.counts[skip:] + 1) / (t.tokens + 1 * (t.words + 1)))
+                parts.append((np.diff(bounds), *(np.add.reduceat(x, bounds[:-1], dtype=y) for x, y in ((known, np.int64), (base, float), (logs, float)))))
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -473,7 +488,7 @@ def score(t: Trie, docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(_score(t), SCORES).withColumnRenamed("id", id_col)
+    return d.mapInArrow(trimmed(_score(t)), SCORES).withColumnRenamed("id", id_col)
 
 
 def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, parts: int = 7, part: int = 2, **how) -> DataFrame:

@@ -119,3 +119,32 @@ def test_probabilities_after_a_context_sum_to_one(spark):
     n += 10.0 ** ngram.walk(t, next(iter(tv.blocks(pa.array(["a b"]))))).logs[2]
     back = 3.0 / (3 + 3.0) * 9.0 / (4 + 9.0)  # a b: 3 times, b: 4 times
     assert abs(n + back * unknown - 1) < 2e-3
+
+
+def test_texts_in_parts_are_texts_whole(spark, monkeypatch):
+    """The grams that are counted and the scores don't depend on where a long text is cut."""
+    texts = [t for _, t in corpus()] + [" ".join(str(i * i % 37) for i in range(3000))]
+    t = ngram.build(spark.createDataFrame([(x,) for x in texts], "text string"), least=1, shard_tokens=5000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+
+    def grams(n):
+        below = ngram.Trie(t.tokens, t.words, t.discount, t.prior, t.levels[: n - 1])
+        rows = [x for b in ngram._count_grams(below, n, 1)(iter([batch.select(["text"])])) for x in b.column("blob").to_pylist()]
+        return [c.tolist() for c in ngram._unsqueeze(rows[0], 2 + (n > 2), 1)], len(rows)
+
+    def scores():
+        return [x for b in ngram._score(t)(iter([batch])) for x in b.to_pylist()]
+
+    whole = grams(2), grams(3), scores()
+    for part in (1, 2, 7, 1000):
+        monkeypatch.setattr(ngram, "PART", part)
+        assert (grams(2), grams(3), scores()) == whole
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**40), min_size=2, max_size=300), st.integers(0, 40))
+def test_elias_fano_pairs(xs, shift):
+    x = np.sort(np.array([v >> shift for v in xs], np.uint64))
+    parts, meta = ef.encode(x)
+    a, b = ef.EliasFano(parts["low"], parts["vector"], parts["ones"], **meta).access_pairs(np.arange(len(x) - 1))
+    assert np.array_equal(a, x[:-1]) and np.array_equal(b, x[1:])
