@@ -35,8 +35,8 @@ from cadenza.session import scratch, ship, stored
 #: The end of a text, as a word's hash; it also stands before a text's first word.
 END = np.uint64(0)
 ORDER = 3
-#: Prior strength by order, from 2 up.
-PRIOR = (1000.0, 300.0)
+#: Prior strength by order, from 2 up, chosen by the likelihood of held-out texts (README).
+PRIOR = (1000.0, 10.0)
 #: N-grams of the highest order (from 3 up) seen less often are left to the order below, unless `least` says otherwise: with
 #: 1 all are kept.  What is left out stays in its context's count, so that context's probabilities then sum to less than 1.
 LEAST = 2
