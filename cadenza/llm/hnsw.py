@@ -10,6 +10,8 @@ M = 16
 BUILD_BEAM = 48
 BATCH = 256
 SPARE = 4
+#: (query, node) pairs whose links are followed together.
+FRONT = 1 << 14
 _NONE = np.int32(-1)
 
 
@@ -249,10 +251,15 @@ class Graph:
             at, node, value = a, ids[a, b].astype(np.int64), sims[a, b]
             seen[...] = False  # what fell out of the beam may still lie within
             seen[at, node] = True
-            while len(at):
+            front = [(at, node, value)]
+            while front:
+                at, node, value = front.pop()
+                if len(at) > FRONT:  # the rest waits: what is held does not grow with the links of a dense group
+                    front.append((at[FRONT:], node[FRONT:], value[FRONT:]))
+                    at, node, value = at[:FRONT], node[:FRONT], value[:FRONT]
                 hit = value >= least
-                who.append(at[hit] + i)
-                what.append(node[hit])
+                who.append((at[hit] + i).astype(np.int32))
+                what.append(node[hit].astype(np.int32))
                 per = inward[node + 1] - inward[node]
                 back = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(inward[node], per)
                 at = np.concatenate([np.repeat(at, base.links.shape[1]), np.repeat(at, per)])
@@ -263,8 +270,9 @@ class Graph:
                 seen[at, node] = True
                 value = np.concatenate([np.einsum("nd,nd->n", q[at[s : s + 65536]], self.vectors[node[s : s + 65536]]) for s in range(0, len(at), 65536)]) if len(at) else np.zeros(0, np.float32)
                 stay = value >= least - slack
-                at, node, value = at[stay], node[stay], value[stay]
-        return (np.concatenate(who), np.concatenate(what)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                if stay.any():
+                    front.append((at[stay], node[stay], value[stay]))
+        return (np.concatenate(who).astype(np.int64), np.concatenate(what).astype(np.int64)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def arrays(self, prefix: str) -> tuple[dict[str, np.ndarray], dict]:
         out = {f"{prefix}v": self.vectors.reshape(-1)}

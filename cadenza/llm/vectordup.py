@@ -4,11 +4,13 @@
    a multiplicity.
 2. The nodes of a label (and a dimension) are dealt by hash to shards of about `shard` nodes; each shard becomes a graph in
    a file of the shared folder, small ones many to a file.
-3. Each shard is asked for the neighbours of all its label's nodes, in blocks of at most about `block` queries.  A search
-   finds the neighbourhood with a beam, then follows links that stay near the threshold, so what it returns is not bounded
-   by the beam.  Two audits follow: a query that is itself a node of the shard must find itself, and for `audit` queries of
-   each block the hits must be those of a comparison with the whole shard.  Queries that fail, or the block, are searched
-   again with twice the beam, up to the size of the shard.
+3. Each shard is asked for the neighbours of all its label's nodes.  What is dealt to tasks are pairs of a graph and a block
+   of `block` nodes of another graph's file, so vectors are not shuffled again.  `STEP` queries are searched together: a
+   search finds the neighbourhood with a beam, then follows links that stay near the threshold, so what it returns is not
+   bounded by the beam.  Two audits follow: a query that is itself a node of the shard must find itself, and for some
+   queries of each step (`audit` of them a block) the hits must be those of a comparison with the whole shard.  Queries that
+   fail, or the step, are searched again with twice the beam; where `WIDEST` times the beam isn't enough, they are compared
+   with the whole shard.
 4. Hits are verified by cosine in double precision.  A block returns each query's number of links, and a star of edges for
    every component among its hits: a group of a thousand near copies gives a thousand edges, not a million pairs.
 5. Components come from alternating large-star and small-star.
@@ -32,8 +34,8 @@ SHARD = 8192
 BLOCK = 2048
 BEAM = 48
 AUDIT = 32
-#: Lists of graphs or of labels up to this many short rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+STEP = 256
+WIDEST = 16
 _NEAR = 1e-4  # what single precision may be off
 
 
@@ -106,25 +108,31 @@ def _build(folder: str, target: int):
     return run
 
 
-def _neighbours(graph: Graph, double: np.ndarray, single: np.ndarray, nodes: np.ndarray, own: np.ndarray, threshold: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(graph: Graph, double: np.ndarray, nodes: np.ndarray, own: np.ndarray, threshold: float, beam: int, audit: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified (query, node) pairs; own: a query's own place in the shard, or -1."""
-    n, least = len(nodes), threshold - _NEAR
+    n, least, single = len(nodes), threshold - _NEAR, double.astype(np.float32)
     sample = np.unique(np.linspace(0, len(double) - 1, min(audit, len(double))).astype(int))
     truth = [np.flatnonzero(nodes @ double[i] >= threshold) for i in sample]  # not what only single precision lets in
     who, what = graph.within(single, least, beam)
+    widest = min(n, beam * WIDEST)
     while True:
         found = np.zeros(len(double), bool)
         found[who[what == own[who]]] = True
         again = np.flatnonzero((own >= 0) & ~found)
-        near = {i: set(what[who == i].tolist()) for i in sample}
-        failed = any(not set(t.tolist()) <= near[i] for i, t in zip(sample, truth, strict=True))
-        if beam >= n or not (failed or len(again)):
+        failed = any(not np.isin(t, what[who == i]).all() for i, t in zip(sample, truth, strict=True))
+        if not (failed or len(again)):
             break
-        beam = min(n, beam * 2)
         if failed:
             again = np.arange(len(double))
-        a, b = graph.within(single[again], least, beam)
-        both = np.unique(np.concatenate([who * n + what, again[a] * n + b]))
+        if beam >= widest:  # the graph doesn't lead there: compare with all of it
+            a, b = np.nonzero(single[again] @ graph.vectors.T >= least)
+            self_ = again[own[again] >= 0]
+            a, b = np.concatenate([again[a], self_]), np.concatenate([b, own[self_]])
+        else:
+            beam = min(widest, beam * 2)
+            a, b = graph.within(single[again], least, beam)
+            a = again[a]
+        both = np.unique(np.concatenate([who * n + what, a * n + b]))
         who, what = both // n, both % n
     inside = np.flatnonzero(own >= 0)
     if len(inside):  # a link between nodes of the shard holds in both directions
@@ -157,27 +165,32 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[m], u[low[m]]
 
 
-def _ask(threshold: float, beam: int, audit: int):
-    """Rows sorted by (graph, block): counts of links as (a, null, n), edges as (a, b, 0)."""
+def _ask(threshold: float, beam: int, audit: int, block: int):
+    """Pairs of a graph and a block of another one's nodes: counts of links as (a, null, n), edges as (a, b, 0)."""
+
+    def ask(path: str, g: int, other: str, other_g: int, number: int):
+        f, q, dim = mapped(path), mapped(other), mapped(path).meta[f"g{g}_dim"]
+        graph, ids, mult = Graph.read(f, f"g{g}_"), getattr(f, f"g{g}_ids"), getattr(f, f"g{g}_mult")
+        nodes, queries = getattr(f, f"g{g}_double").reshape(-1, dim), getattr(q, f"g{other_g}_double").reshape(-1, dim)
+        names = getattr(q, f"g{other_g}_ids")
+        edges = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo in range(number * block, min(len(names), (number + 1) * block), STEP):
+            hi = min(len(names), lo + STEP, (number + 1) * block)
+            own = np.arange(lo, hi) if (path, g) == (other, other_g) else np.full(hi - lo, -1)
+            who, what = _neighbours(graph, queries[lo:hi], nodes, own, threshold, beam, max(1, -(-audit * STEP // block)))
+            links = np.bincount(who, mult[what].astype(float), hi - lo).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), pa.nulls(hi - lo, pa.int64()), pa.array(links)], names=["a", "b", "links"])
+            away = ids[what] != names[lo:hi][who]
+            a, b = _star(names[lo:hi][who[away]], ids[what[away]])
+            edges = _star(np.concatenate([edges[0], a]), np.concatenate([edges[1], b]))  # at most one for each node
+        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1]), pa.array(np.zeros(len(edges[0]), np.int64))], names=["a", "b", "links"])
 
-    def work(t: pa.Table):
-        f, k = mapped(t.column("path")[0].as_py()), t.column("g")[0].as_py()
-        graph, ids, mult = Graph.read(f, f"g{k}_"), getattr(f, f"g{k}_ids"), getattr(f, f"g{k}_mult")
-        nodes = getattr(f, f"g{k}_double").reshape(len(ids), -1)
-        query = t.column("id").to_numpy()
-        double, single = _unit(t.column("vec").to_pylist(), nodes.shape[1])
-        order = np.argsort(ids)
-        at = np.minimum(np.searchsorted(ids[order], query), len(ids) - 1)
-        own = np.where(ids[order][at] == query, order[at], -1)
-        who, what = _neighbours(graph, double, single, nodes, own, threshold, beam, audit)
-        links = np.bincount(who, mult[what].astype(float), len(query)).astype(np.int64)
-        other = ids[what] != query[who]
-        a, b = _star(query[who[other]], ids[what[other]])
-        none = pa.nulls(len(query), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(query), none, pa.array(links)], names=["a", "b", "links"])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "links"])
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("path", "g", "other", "other_g", "block")), strict=True):
+                yield from ask(*row)
 
-    return lambda batches: _groups(batches, ["no", "g", "block"], work)
+    return run
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = 0.98, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM, audit: int = AUDIT) -> DataFrame:
@@ -193,30 +206,27 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     ship(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    d = d.mapInArrow(_clean, "id long, label string, dim int, ok boolean, d1 long, d2 long, vec binary").withColumn("grp", F.xxhash64("label", "dim"))
-    d = stored(d, "vectors")
-    node = d.where("ok").groupBy("label", "dim", "d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec"), F.first("grp").alias("grp"))
-    # an id that stands for two nodes would hide one of them: nodes are numbered by a hash of their value, ids only named
-    node = node.withColumn("node", F.xxhash64("label", "dim", "d1", "d2"))
-    node = stored(node.select("node", "id", "mult", "vec", "dim", "grp"), "nodes")
-    sizes = node.groupBy("grp").agg(F.count("*").alias("n"))
-    sizes = stored(sizes.select("grp", F.ceil(F.col("n") / shard).cast("int").alias("shards"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "sizes")
-    few = sizes.count() <= BROADCAST_ROWS
-    dealt = node.join(F.broadcast(sizes) if few else sizes, "grp")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int"))
+    d = stored(d.mapInArrow(_clean, "id long, label string, dim int, ok boolean, d1 long, d2 long, vec binary"), "vectors")
+    value = ["label", "dim", "d1", "d2"]
+    node = d.where("ok").groupBy(*value).agg(F.min("id").alias("id"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
+    node = stored(node.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered, so two are never taken for one
+    sizes = node.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("grp", F.monotonically_increasing_id())
+    sizes = stored(sizes.select("label", "dim", "grp", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "sizes")
+    dealt = node.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int"))
     place = dealt.select("grp", "shard", F.col("node").alias("id"), "mult", "vec", "dim").repartition(tasks, "grp", "shard").sortWithinPartitions("grp", "shard", "id")
     graphs = stored(place.mapInArrow(_build(scratch(spark, "graphs"), shard), "grp long, shard int, path string, g int, n long"), "graphs")
-    where = graphs.select("grp", "path", "g", F.xxhash64("path").alias("no"))
-    where = F.broadcast(where) if graphs.count() <= BROADCAST_ROWS else where
-    ask = dealt.select("grp", F.col("node").alias("id"), "vec", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int").alias("block")).join(where, "grp")
-    ask = ask.select("no", "g", "block", "path", "id", "vec").repartition(tasks, "no", "g", "block").sortWithinPartitions("no", "g", "block")
-    found = stored(ask.mapInArrow(_ask(threshold, beam, audit), "a long, b long, links long"), "found")
+    other = graphs.select("grp", F.col("path").alias("other"), F.col("g").alias("other_g"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("block"))
+    ask = graphs.select("grp", "path", "g").join(other, "grp").select("path", "g", "other", "other_g", "block")
+    ask = ask.repartition(tasks, "path", "g", "other", "other_g", "block")
+    found = stored(ask.mapInArrow(_ask(threshold, beam, audit, block), "a long, b long, links long"), "found")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     comp = components(found.where("b is not null"))
-    named = node.select("node", "id").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    per = named.join(smallest, "component").select(F.col("node").alias("a"), "component_id").join(links, "a")
-    out = d.withColumn("a", F.when(F.col("ok"), F.xxhash64("label", "dim", "d1", "d2"))).select("id", "ok", "a").join(per, "a", "left")
+    named = node.select("node", "id", *value).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(named.join(links, F.col("node") == F.col("a")).select(*value, "id", "component", "links"), "named")
+    smallest = stored(named.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
+    per = stored(named.join(smallest, "component").select(*value, "component_id", "links"), "per")
+    # both sides are plain tables: adaptive execution splits the copies of one vector, and the rows that cannot link
+    out = d.select("id", *(F.when(F.col("ok"), F.col(c)).alias(c) for c in value)).join(per, value, "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce(F.col("links") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

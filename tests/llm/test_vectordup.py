@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from cadenza.llm import vectordup
@@ -92,3 +94,37 @@ def test_query_equals_sql(spark):
     from oracle import SMALL, same
 
     same(spark, QUERIES["op1_hnsw"](spark, SMALL), ORACLES["op1_hnsw"])
+
+
+def near(n, dim=64, noise=0.012, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=dim) / 8 + noise * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_a_dense_group_in_bounded_memory():
+    """A step of queries that all link with all of a shard holds its own pairs only."""
+    x = near(3000)
+    graph = Graph.build(x.astype(np.float32))
+    assert (x[:50] @ x.T >= 0.98).mean() > 0.9
+    tracemalloc.start()
+    who, what = vectordup._neighbours(graph, x[:256], x, np.arange(256), 0.98, vectordup.BEAM, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.zeros((256, 3000), bool)
+    got[who, what] = True
+    assert np.array_equal(got, x[:256] @ x.T >= 0.98)
+    assert peak < 200e6
+
+
+def test_what_the_graph_does_not_lead_to_is_compared():
+    """Audits fail on a graph without links, at the widest beam too, and the shard is then compared with all queries."""
+    x = np.concatenate([near(60, seed=1), near(40, seed=2)])
+    graph = Graph.build(x.astype(np.float32))
+    for layer in graph.layers:
+        layer.links[:] = -1
+    for own in (np.arange(100), np.full(100, -1)):
+        who, what = vectordup._neighbours(graph, x, x, own, 0.98, 4, 8)
+        got = np.zeros((100, 100), bool)
+        got[who, what] = True
+        assert np.array_equal(got, x @ x.T >= 0.98)
