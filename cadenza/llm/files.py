@@ -29,6 +29,12 @@ def put(folder: str, name: str, content: bytes) -> str:
     return f"{folder}/{name}"
 
 
+def get(folder: str, name: str) -> bytes:
+    store, path = _at(folder)
+    with store.open_input_file(f"{path}/{name}") as f:
+        return f.read()
+
+
 def arrays(parts: dict[str, np.ndarray], meta: dict) -> bytes:
     """A header in JSON, then each array at a multiple of 8 bytes, and 8 spare bytes at the end."""
     body, table, at = [], {}, 0

@@ -9,8 +9,9 @@ A file holds consecutive documents in ascending order of id.  All numbers are li
     N/4       control bytes: 2 bits per id, from the lowest up, are the bytes of its rank less 1
     rest      data bytes: each rank's 1 to 4 low bytes
 
-The ranks are a file's own, so that one pass over the texts is enough and each file can be read by itself.  A reader
-looks control bytes up in a table of 256 rows of four lengths, and sums these to find where each rank starts.
+The ranks are a file's own, so that one pass over the texts is enough and each file can be read by itself; that costs a
+list of the file's distinct ids, 4 bytes each, which is at most 49k ids of 4 million or more.  A reader looks control bytes
+up in a table of 256 rows of four lengths, and sums these to find where each rank starts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cadenza.llm.files import put
+from cadenza.llm.arrow import trimmed
+from cadenza.llm.files import get, put
 from cadenza.llm.tokens import END_ID, TOKENIZER, crc, encoder, tokenizer_path
 from cadenza.session import scratch, ship, stored
 
@@ -128,8 +130,9 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     """
     ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    made = stored(d.mapInArrow(_writer(folder, tokenizer or tokenizer_path(TOKENIZER), end_id, file_ids), "name string, part int, seq int, n_docs long, n_ids long"), "manifest")
+    order = F.col("id").asc_nulls_first(), F.xxhash64("text")  # so that rows of one id, or without one, are dealt out, too
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "text")
+    made = stored(d.mapInArrow(trimmed(_writer(folder, tokenizer or tokenizer_path(TOKENIZER), end_id, file_ids)), "name string, part int, seq int, n_docs long, n_ids long"), "manifest")
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return made.select("name", before.alias("start"), "n_docs", "n_ids")
 
@@ -137,13 +140,13 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _reader(digest: bool):
+def _reader(folder: str, digest: bool):
     schema = READ.remove(3).append(pa.field("ids_crc32", pa.int64())) if digest else READ
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content, base in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                names, size, ids = unpack(content.as_buffer().to_pybytes())
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names, size, ids = unpack(get(folder, name))
                 end = np.cumsum(size)
                 parts = [ids[a:b] for a, b in zip((end - size).tolist(), end.tolist(), strict=True)]
                 last = pa.array([crc(x) for x in parts] if digest else [x.astype("<u4").tobytes() for x in parts], schema.field(3).type)
@@ -155,16 +158,15 @@ def _reader(digest: bool):
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, *, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) per document, read back from the files; `digest` gives ids_crc32 in place of ids.
 
-    `ids` are little-endian unsigned 32-bit integers.
+    Tasks get names and open the files themselves, one at a time.  `ids` are little-endian unsigned 32-bit integers.
     """
     ship(spark)
     last = "ids_crc32 long" if digest else "ids binary"
     schema = f"doc_id long, start long, n_tokens long, {last}"
     if manifest.isEmpty():
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "ids-*.bin").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").join(F.broadcast(manifest.select("name", "start")), "name")
-    return files.select("content", "start").mapInArrow(_reader(digest), schema)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("name", "start").repartition(n, "name").mapInArrow(_reader(folder, digest), schema)
 
 
 def id_file_digests(docs: DataFrame, **how) -> DataFrame:
