@@ -2,17 +2,25 @@
 
 A rollup lives in a folder of the shared store:
 
-    state/<batch>    the changed documents' counts after the batch, and whether each is still there
-    deltas/<batch>   what the batch adds to each (source, lang, tokenizer): documents and tokens, negative for what it removes
-    commits/<batch>  made last, by an atomic create; it holds the batch's place in the order of batches
+    state/<attempt>    the changed documents' counts after a batch, and whether each is still there
+    deltas/<attempt>   what a batch adds to each (source, lang, tokenizer): documents and tokens, negative for what it removes
+    log/<place>        made last, whole and only if the place is free: the batch's name and its attempt
 
 A change of a document subtracts what its last committed state had added and adds its new counts, so totals are sums of
-deltas and no batch reads the texts of another.  What a batch has written before its commit is not seen and is written
-over when the batch comes again; a batch that is committed is not applied again.
+deltas and no batch reads the texts of another.  What an attempt has written before its commit is not seen.  A batch that
+is committed is not applied again.  Of two writers that start from one log, the place goes to one; the other starts again
+from the log that has it.
+
+A compaction is an entry of the log, too: it stands for all entries before it, with the states of live documents and the
+totals.  It is made after `every` batches, so a batch reads a bounded number of folders however long the history is, and of
+the states only the rows of its own documents are shuffled.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -56,37 +64,73 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 class Rollup:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, every: int = 16):
+        self.spark, self.folder, self.every = spark, folder.rstrip("/"), every
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _places(self) -> list[int]:
+        fs, p = self._fs(f"{self.folder}/log")
+        return sorted(int(name) for s in fs.listStatus(p) if (name := s.getPath().getName()).isdigit()) if fs.exists(p) else []
+
+    def _entry(self, place: int) -> dict:
+        fs, p = self._fs(f"{self.folder}/log/{place:09d}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _log(self) -> tuple[int, list[dict], dict[str, int]]:
+        """The last place, the entries from the last compaction on, and all committed batches with their places."""
+        places, entries = self._places(), []
+        for place in reversed(places):
+            entries.insert(0, self._entry(place) | {"place": place})
+            if "batches" in entries[0]:
+                break
+        names = dict(entries[0].get("batches", {})) if entries else {}
+        return places[-1] if places else 0, entries, names | {e["batch"]: e["place"] for e in entries if "batch" in e}
+
+    def _commit(self, place: int, entry: dict) -> bool:
+        """Put an entry at its place, whole; False if another has it.  The store's rename must not replace a file."""
+        fs, folder = self._fs(f"{self.folder}/log")
+        fs.mkdirs(folder)
+        part, final = (self._fs(f"{self.folder}/log/{x}")[1] for x in (f"_{uuid.uuid4().hex}", f"{place:09d}"))
+        stream = fs.create(part, False)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        try:
+            if fs.getUri().getScheme() == "file":  # whose rename replaces files; a hard link doesn't
+                os.link(part.toUri().getPath(), final.toUri().getPath())
+                return True
+            return not fs.exists(final) and fs.rename(part, final)
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(part, False)
+
     def committed(self) -> dict[str, int]:
-        """Committed batches (the deltas of compacted ones are in the compaction's) and their places."""
-        fs, p = self._fs(f"{self.folder}/commits")
-        if not fs.exists(p):
-            return {}
-        out = {}
-        for s in fs.listStatus(p):
-            at, _, name = s.getPath().getName().partition("-")
-            out[name] = int(at)
-        return out
+        """Committed batches and their places."""
+        return self._log()[2]
 
     def _read(self, kind: str, names: list[str], schema: str) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{kind}/{n}" for n in names))
 
-    def _latest(self) -> DataFrame:
-        """The last committed state of every document and tokenizer."""
-        done = self.committed()
-        parts = [self._read("state", [n], STATE).withColumn("at", F.lit(at)) for n, at in sorted(done.items(), key=lambda x: x[1])]
+    def _latest(self, entries: list[dict], changed: DataFrame | None = None) -> DataFrame:
+        """The last committed state of every document and tokenizer, or of the documents in `changed` (doc_id)."""
+        parts = [self._read("state", [e["at"]], STATE).withColumn("at", F.lit(e["place"])) for e in entries]
         if not parts:
             return self._read("state", [], STATE)
-        last = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "at").alias("s"))
+        rows = reduce(DataFrame.unionByName, parts)
+        if changed is not None:
+            ids = changed.select(F.col("doc_id").alias("c_id")).distinct()
+            rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi")
+        last = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "at").alias("s"))
         return last.select("doc_id", "tokenizer", "s.*")
 
     def apply(self, batch: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
@@ -99,10 +143,24 @@ class Rollup:
         """
         if not batch or "/" in batch:
             raise ValueError("a batch needs a name without /")
-        done = self.committed()
-        if batch in done:
-            return False
-        old = self._latest().withColumnsRenamed({c: f"o_{c}" for c in ("doc_id", "tokenizer", "source", "lang", "n_tokens", "live")})
+        while True:
+            last, entries, done = self._log()
+            if batch in done:
+                return False
+            at = f"{batch}-{uuid.uuid4().hex[:12]}"
+            self._write(at, entries, upserts, deletes)
+            if self._commit(last + 1, {"batch": batch, "at": at}):
+                break
+            for kind in ("state", "deltas"):  # another writer was first: what was written is of no use
+                fs, p = self._fs(f"{self.folder}/{kind}/{at}")
+                fs.delete(p, True)
+        if len(entries) + 1 >= self.every:
+            self.compact()
+        return True
+
+    def _write(self, at: str, entries: list[dict], upserts: DataFrame | None, deletes: DataFrame | None) -> None:
+        changed = [x.select("doc_id") for x in (upserts, deletes) if x is not None]
+        old = self._latest(entries, reduce(DataFrame.unionByName, changed) if changed else None).withColumnsRenamed({c: f"o_{c}" for c in ("doc_id", "tokenizer", "source", "lang", "n_tokens", "live")})
         new = []
         if upserts is not None:
             new.append(upserts.select("doc_id", "tokenizer", "source", "lang", "n_tokens", F.lit(True).alias("live")))
@@ -117,24 +175,44 @@ class Rollup:
             new = [self._read("state", [], STATE)]
         rows = reduce(DataFrame.unionByName, new).groupBy("doc_id", "tokenizer").agg(F.max(F.struct("live", "source", "lang", "n_tokens")).alias("s"))
         rows = rows.select("doc_id", "tokenizer", "s.source", "s.lang", "s.n_tokens", "s.live")
-        state = f"{self.folder}/state/{batch}"
+        state = f"{self.folder}/state/{at}"
         rows.write.mode("overwrite").parquet(state)
         rows = self.spark.read.schema(STATE).parquet(state)
         plus = rows.where("live").select("source", "lang", "tokenizer", F.lit(1).alias("d"), "n_tokens")
         parts = [plus]
-        if done:
+        if entries:
             was = old.where("o_live").join(rows.select("doc_id", "tokenizer"), F.col("o_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("o_tokenizer") == F.col("tokenizer")), "left_semi")
             parts.append(was.select(F.col("o_source").alias("source"), F.col("o_lang").alias("lang"), F.col("o_tokenizer").alias("tokenizer"), F.lit(-1).alias("d"), (-F.col("o_n_tokens")).alias("n_tokens")))
         delta = reduce(DataFrame.unionByName, parts).groupBy("source", "lang", "tokenizer").agg(F.sum("d").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
-        delta.where("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch}")
-        fs, p = self._fs(f"{self.folder}/commits/{max(done.values(), default=0) + 1:09d}-{batch}")
-        fs.create(p, False).close()
-        return True
+        delta.where("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(f"{self.folder}/deltas/{at}")
+
+    def compact(self) -> bool:
+        """Put one entry in place of all so far; False if another writer was first, or there is nothing to do."""
+        last, entries, done = self._log()
+        if not entries or (len(entries) == 1 and "batches" in entries[0]):
+            return False
+        at = f"compact-{uuid.uuid4().hex[:12]}"
+        self._latest(entries).where("live").write.parquet(f"{self.folder}/state/{at}")
+        self._sum(entries).write.parquet(f"{self.folder}/deltas/{at}")
+        return self._commit(last + 1, {"batches": done, "at": at})
+
+    def vacuum(self) -> None:
+        """Delete what no entry from the last compaction on needs.  Nobody may be reading or writing the rollup meanwhile."""
+        last, entries, _ = self._log()
+        used = {e["at"] for e in entries}
+        for kind in ("state", "deltas"):
+            fs, p = self._fs(f"{self.folder}/{kind}")
+            for s in fs.listStatus(p) if fs.exists(p) else []:
+                if s.getPath().getName() not in used:
+                    fs.delete(s.getPath(), True)
+
+    def _sum(self, entries: list[dict]) -> DataFrame:
+        d = self._read("deltas", [e["at"] for e in entries], DELTA)
+        return d.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens): the sum of all committed deltas, without groups that are empty."""
-        d = self._read("deltas", list(self.committed()), DELTA)
-        return d.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
+        return self._sum(self._log()[1])
 
 
 def keyed(counts: DataFrame) -> DataFrame:

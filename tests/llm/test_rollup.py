@@ -87,3 +87,41 @@ def test_query_revises_deletes_and_puts_back(spark, monkeypatch):
     want = {("s", "en", "words-1"): (5, 8), (None, None, "words-1"): (1, 0)}
     assert sums[0] == sums[1] == {("s", "en", "words-1"): (5, 13), (None, None, "words-1"): (1, 1)}
     assert sums[2] == sums[3] == want and sums[4] == sums[5] == {} and sums[6] == sums[7] == got == want
+
+
+def test_two_writers_of_one_log(spark, tmp_path, monkeypatch):
+    """A writer that another overtakes starts again, so no version is counted twice."""
+    make = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    a, b = (Rollup(spark, f"file://{tmp_path}/rollup") for _ in range(2))
+    a.apply("first", make((1, "s", "en", "t", 10)))
+    write, tries = Rollup._write, []
+
+    def overtaken(self, at, *rest):
+        write(self, at, *rest)
+        tries.append(at)
+        if len(tries) == 1:
+            assert b.apply("second", make((1, "s", "en", "t", 20)))
+
+    monkeypatch.setattr(Rollup, "_write", overtaken)
+    assert a.apply("third", make((1, "s", "en", "t", 30)))
+    assert [x.split("-")[0] for x in tries] == ["third", "second", "third"]
+    assert totals(a) == totals(b) == {("s", "en", "t"): (1, 30)}
+    assert a.committed() == {"first": 1, "second": 2, "third": 3}
+    assert not a._commit(3, {"batch": "fourth", "at": "x"}) and a._commit(4, {"batch": "fourth", "at": tries[-1]})
+
+
+def test_batches_read_a_bounded_number_of_folders(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    r, plain = Rollup(spark, f"file://{tmp_path}/a", every=3), Rollup(spark, f"file://{tmp_path}/b", every=10**6)
+    for i in range(8):
+        up = [(i, "s", "en", "t", i), (i - 1, "s2", "en", "t", 100 + i), (None, None, "en", "t", i)]
+        gone = spark.createDataFrame([(i - 3,)], "doc_id long")
+        for x in (r, plain):
+            assert x.apply(f"b{i}", make(up), gone)
+        assert len(r._log()[1]) <= 3 and totals(r) == totals(plain)
+    assert list(r.committed()) == list(plain.committed()) == [f"b{i}" for i in range(8)]
+    assert not r.apply("b0", make(up))
+    r.vacuum()
+    assert totals(r) == totals(plain)
+    assert r.apply("last", deletes=spark.createDataFrame([(7,), (None,)], "doc_id long")) and plain.apply("last", deletes=spark.createDataFrame([(7,), (None,)], "doc_id long"))
+    assert totals(r) == totals(plain)
